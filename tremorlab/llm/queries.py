@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tremorlab.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from tremorlab.llm.simhash_vptree import simhash_components
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +19,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents."""
+    return simhash_components(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
