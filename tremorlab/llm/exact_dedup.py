@@ -23,7 +23,8 @@ def frequent_digests(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
     """Verified frequent digests: (digest, keep_id, group_size) with group_size > rows/tracked."""
     key = digests.select(F.xxhash64("digest").alias("k"), (F.spark_partition_id() % MERGE_GROUPS).alias("g"))
     partial = key.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(k, {tracked})").alias("s"), F.count("*").alias("n"))
-    merged = partial.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n"))
+    # grouped by a column that is always 0: a global aggregate would also merge the typeless summaries of empty partitions
+    merged = partial.groupBy((F.col("g") % 1).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n"))
     found = merged.select(F.expr(f"approx_top_k_estimate(s, {tracked})").alias("top"), "n").select(F.explode("top").alias("t"), "n")
     # an estimate never falls short of the true count, so this drops no frequent digest and leaves a bounded list
     candidates = found.where(F.col("t.count") * tracked > F.col("n")).select(F.col("t.item").alias("k"), "n")
