@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,16 @@ def text_or_empty(col: str = "text") -> F.Column:
 def fold_of(id_col: str, folds: int) -> F.Column:
     """crc32 of the id written as text, modulo ``folds``; null ids give null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def chunks(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Consecutive runs of whole texts of about ``chars`` characters."""
+    now, size = [], 0
+    for t in texts:
+        now.append(t)
+        size += len(t)
+        if size >= chars:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tremorlab.llm.byte_bpe import bpe_digests
 from tremorlab.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from tremorlab.llm.packing import pack
 from tremorlab.llm.simhash_vptree import simhash_components
 
 
@@ -24,9 +27,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, and their decoding."""
+    return bpe_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 ids."""
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
