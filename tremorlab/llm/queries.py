@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tremorlab.llm.byte_bpe import bpe_digests
 from tremorlab.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from tremorlab.llm.multiset_fingerprint import fingerprint_with_next
 from tremorlab.llm.packing import pack
 from tremorlab.llm.simhash_vptree import simhash_components
 
@@ -32,6 +33,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_with_next(_documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 ids."""
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -39,7 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op10_packing": op10_packing}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op8_multiset_fingerprint": op8_multiset_fingerprint, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
