@@ -162,7 +162,9 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     out.append((held[0], len(held[1]), hashlib.sha256(new.encode()).hexdigest(), held[2].hexdigest(), eh.hexdigest(), held[2].likeness(eh), held[2].likeness(h)))
                 # a bucket's first halo row is its last row's next; what follows it is not needed
                 held = None if halo else (None if pd.isna(doc) else int(doc), text, h)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+            frame = pd.DataFrame([r[1:] for r in out], columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            frame.insert(0, "doc_id", pd.array([r[0] for r in out], dtype="Int64"))
+            yield frame
 
     return sent.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
