@@ -15,13 +15,12 @@ import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlab.llm.common import chunks
+from tremorlab.llm.common import chunks, map_lists, typed
 
 MATRIX_BYTES = 512
 MATRIX_CELLS = 1 << 20
@@ -211,11 +210,11 @@ def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "do
     with open(rank_path, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         codec = _codec(ranks.value, pattern)
         for b in batches:
-            got = list(codec.digest([t or "" for t in b["text"]]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]})
+            n, ids, back = zip(*codec.digest([t or "" for t in b["text"]])) if b["text"] else ([], [], [])
+            yield {"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_lists(rows, run, typed(docs, id_col, n_tokens=T.LongType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType()))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +60,19 @@ def chunks(texts: list[str], chars: int) -> Iterator[list[str]]:
             now, size = [], 0
     if now:
         yield now
+
+
+def map_lists(df: DataFrame, run: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: T.StructType) -> DataFrame:
+    """mapInArrow over batches as dicts of Python lists; unlike pandas columns these keep large ids exact beside nulls."""
+    kinds = to_arrow_schema(schema)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns)} for b in it):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in kinds], schema=kinds)
+
+    return df.mapInArrow(batches, schema)
+
+
+def typed(docs: DataFrame, id_col: str, **kinds: T.DataType) -> T.StructType:
+    """A schema of doc_id, typed as ``id_col``, and further columns."""
+    return T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(n, k) for n, k in kinds.items()])

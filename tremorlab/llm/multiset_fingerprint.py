@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tremorlab.llm.common import map_lists
+
 EXACT_LANES = 4
 LIKE_LANES = 256
 UNIT_WORDS = 4
@@ -149,22 +151,22 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .sortWithinPartitions("b", "halo", F.col("doc_id").desc_nulls_last(), "text")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # (bucket, id, text, hash) of the row that waits for its next
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        held = None  # (id, text, hash) of the row that waits for its next
         for b in batches:
             out = []
-            for bk, halo, doc, text in zip(b["b"], b["halo"], b["doc_id"], b["text"]):
-                if held is None and halo:
+            for is_halo, doc, text in zip(b["halo"], b["doc_id"], b["text"]):
+                if held is None and is_halo:
                     continue
                 h = MultisetHash().update(text)
                 if held is not None:
-                    new, eh = edited_hash(held[2], held[1], text)
-                    out.append((held[0], len(held[1]), hashlib.sha256(new.encode()).hexdigest(), held[2].hexdigest(), eh.hexdigest(), held[2].likeness(eh), held[2].likeness(h)))
-                # a bucket's first halo row is its last row's next; what follows it is not needed
-                held = None if halo else (None if pd.isna(doc) else int(doc), text, h)
-            frame = pd.DataFrame([r[1:] for r in out], columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            frame.insert(0, "doc_id", pd.array([r[0] for r in out], dtype="Int64"))
-            yield frame
-
-    return sent.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
+                    was, before_text, hb = held
+                    new, he = edited_hash(hb, before_text, text)
+                    out.append((was, len(before_text), hashlib.sha256(new.encode()).hexdigest(), hb.hexdigest(), he.hexdigest(), hb.likeness(he), hb.likeness(h)))
+                # the first halo row of a bucket is the next of its last row; further ones are not needed
+                held = None if is_halo else (doc, text, h)
+            if out:
+                yield dict(zip(schema.names, zip(*out)))
+
+    schema = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("n_chars", T.LongType()), ("edited_sha256", T.StringType()), ("fingerprint", T.StringType()), ("edited_fingerprint", T.StringType()), ("near_edited", T.DoubleType()), ("near_next", T.DoubleType()))])
+    return map_lists(sent, run, schema)

@@ -16,13 +16,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlab.llm.common import chunks
+from tremorlab.llm.common import chunks, map_lists, typed
 
 WINDOW = 4096
 END_ID = 2
@@ -182,23 +181,23 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         tok, packer = _tokenizer(spec.value), SumOfSquaresPacker(window)
         end, base = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId() << 40
 
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=names)
-            out["sequence_id"] += base
+        def columns(rows: list[tuple]) -> dict:
+            out = dict(zip(names, zip(*rows)))
+            out["sequence_id"] = [base + s for s in out["sequence_id"]]
             return out
 
         for b in batches:
             rows = []
             for doc, ids in zip(b["doc_id"], tok.encode([t or "" for t in b["text"]])):
-                rows += packer.add(None if pd.isna(doc) else doc, ids + end)
+                rows += packer.add(doc, ids + end)
             if rows:
-                yield frame(rows)
+                yield columns(rows)
         if rows := packer.finish():
-            yield frame(rows)
+            yield columns(rows)
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in names[1:]])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_lists(rows, run, typed(docs, id_col, **{n: T.LongType() for n in names[1:]}))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlab.llm.common import materialize
+from tremorlab.llm.common import map_lists, materialize, typed
 from tremorlab.llm.components import connected_components
 
 BITS = 3
@@ -58,14 +58,13 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield {"doc_id": b["doc_id"], "fp": fp}
 
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return map_lists(rows, run, typed(docs, id_col, fp=T.LongType()))
 
 
 def _vantage(points: np.ndarray, mask: np.uint64, tries: int = 8) -> tuple[np.uint64, int, np.ndarray]:
