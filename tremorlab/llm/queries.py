@@ -11,6 +11,7 @@ from tremorlab.llm.byte_bpe import bpe_digests
 from tremorlab.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from tremorlab.llm.multiset_fingerprint import fingerprint_with_next
 from tremorlab.llm.packing import pack
+from tremorlab.llm.secret_scan import scan_secrets
 from tremorlab.llm.simhash_vptree import simhash_components
 
 
@@ -38,6 +39,11 @@ def op8_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(_documents(spark, sf_dir))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, with live-looking ones told from copied examples."""
+    return scan_secrets(_documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4096 ids."""
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -45,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op8_multiset_fingerprint": op8_multiset_fingerprint, "op10_packing": op10_packing}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op8_multiset_fingerprint": op8_multiset_fingerprint, "op9_secret_scan": op9_secret_scan, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
