@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tremorlab.llm.byte_bpe import bpe_digests
 from tremorlab.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
+from tremorlab.llm import language_id, quality_ranking, toxicity
 from tremorlab.llm.multiset_fingerprint import fingerprint_with_next
 from tremorlab.llm.packing import pack
 from tremorlab.llm.secret_scan import scan_secrets
@@ -24,6 +25,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents."""
+    docs = _documents(spark, sf_dir)
+    return toxicity.score_toxicity(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     return simhash_components(_documents(spark, sf_dir))
@@ -34,6 +41,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    docs = _documents(spark, sf_dir)
+    return language_id.predict_languages(docs, language_id.train(docs))
+
+
+def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents."""
+    docs = _documents(spark, sf_dir)
+    return quality_ranking.score_quality(docs, quality_ranking.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprint_with_next(_documents(spark, sf_dir))
@@ -51,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op8_multiset_fingerprint": op8_multiset_fingerprint, "op9_secret_scan": op9_secret_scan, "op10_packing": op10_packing}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op6_language_id": op6_language_id, "op7_quality_ranking": op7_quality_ranking, "op8_multiset_fingerprint": op8_multiset_fingerprint, "op9_secret_scan": op9_secret_scan, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
