@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tremorlab.llm.byte_bpe import bpe_digests
 from tremorlab.llm.exact_dedup import EXACT_DEDUP_SQL, exact_dedup
 from tremorlab.llm import language_id, quality_ranking, toxicity
+from tremorlab.llm.line_dedup import dedup_lines
 from tremorlab.llm.multiset_fingerprint import fingerprint_with_next
 from tremorlab.llm.packing import pack
 from tremorlab.llm.secret_scan import scan_secrets
@@ -41,6 +43,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated lines: line counts and a digest of the remaining text."""
+    out = dedup_lines(_documents(spark, sf_dir), counts=True)
+    return out.select("doc_id", "n_lines", "n_kept", F.length("text").cast("long").alias("clean_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("clean_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents."""
     docs = _documents(spark, sf_dir)
@@ -70,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query by name."""
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op6_language_id": op6_language_id, "op7_quality_ranking": op7_quality_ranking, "op8_multiset_fingerprint": op8_multiset_fingerprint, "op9_secret_scan": op9_secret_scan, "op10_packing": op10_packing}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_toxicity": op2_toxicity, "op3_simhash": op3_simhash, "op4_byte_bpe": op4_byte_bpe, "op5_line_dedup": op5_line_dedup, "op6_language_id": op6_language_id, "op7_quality_ranking": op7_quality_ranking, "op8_multiset_fingerprint": op8_multiset_fingerprint, "op9_secret_scan": op9_secret_scan, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
