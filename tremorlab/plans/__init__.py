@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from tremorlab.plans import feature_queries  # noqa: F401
+from tremorlab.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
     """Every registered query."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
     """Reference SQL by query name."""
-    return {}
+    return dict(SQL)
