@@ -8,11 +8,14 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 CTES: dict[str, str] = {}
+RECURSIVE: set[str] = set()
 
 
-def cte(name: str, body: str) -> None:
+def cte(name: str, body: str, recursive: bool = False) -> None:
     """A named sub-query for reference SQL; it may use those defined before it."""
     CTES[name] = body
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def duck(final: str) -> str:
@@ -27,7 +30,8 @@ def duck(final: str) -> str:
 
     visit(final)
     with_ = ",\n".join(f"{n} AS ({CTES[n]})" for n in CTES if n in need)
-    return f"WITH {with_}\n{final}" if with_ else final
+    recursive = "RECURSIVE " if any(n in RECURSIVE for n in need) else ""
+    return f"WITH {recursive}{with_}\n{final}" if with_ else final
 
 
 def query(sql: str | None = None) -> Callable:
