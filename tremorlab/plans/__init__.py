@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremorlab.plans import feature_queries, governance_queries, metric_queries, model_queries  # noqa: F401
+from tremorlab.plans import feature_queries, governance_queries, metric_queries, model_queries, simulation_queries  # noqa: F401
 from tremorlab.plans.registry import QUERIES, SQL
 
 
