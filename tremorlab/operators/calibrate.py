@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlab.functions.scalar import logit, sigmoid
@@ -67,3 +67,27 @@ def ensemble(weights: dict[int, float]) -> Column:
     for h, w in weights.items():
         out = out + w * F.col(f"p_{h}")
     return out
+
+
+def platt_trace(frame: DataFrame, keys: list[str], lr: float = 0.05, warm_up: int = 50) -> DataFrame:
+    """a and b after every row of each group, for convergence diagnostics; as in platt_fold, a group is one series."""
+    rows = F.array_sort(F.collect_list(F.struct("idx", "p", "y")))
+    zero = F.array(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0).alias("n")))
+
+    def step(states: Column, r: Column) -> Column:
+        s = F.element_at(states, -1)
+        x = logit(r["p"])
+        out = F.when(s["n"] < warm_up, r["p"]).otherwise(sigmoid(s["a"] * x + s["b"]))
+        e, rate = out - r["y"], lr / F.sqrt(1 + s["n"].cast("double"))
+        return F.concat(states, F.array(F.struct((s["a"] - rate * e * x).alias("a"), (s["b"] - rate * e).alias("b"), (s["n"] + 1).alias("n"))))
+
+    g = M.valid(frame).groupBy(*keys).agg(F.aggregate(rows, zero, step).alias("t"))
+    return g.select(*keys, F.explode("t").alias("s")).select(*keys, "s.a", "s.b", "s.n")
+
+
+def convergence(trace: DataFrame, keys: list[str], recent: int = 50, span: int = 100) -> DataFrame:
+    """Mean absolute step of a over the last ``recent`` updates and its range over the last ``span``, at the end of each group."""
+    w = Window.partitionBy(*keys).orderBy("n")
+    f = trace.withColumn("_d", F.abs(F.col("a") - F.lag("a").over(w)))
+    f = f.withColumn("velocity", F.avg("_d").over(w.rowsBetween(-(recent - 1), 0))).withColumn("spread", F.max("a").over(w.rowsBetween(-(span - 1), 0)) - F.min("a").over(w.rowsBetween(-(span - 1), 0)))
+    return f.groupBy(*keys).agg(F.max_by("velocity", "n").alias("velocity"), F.max_by("spread", "n").alias("spread"))

@@ -137,9 +137,9 @@ def ewma_vol(frame: DataFrame, span: int = 20) -> DataFrame:
     return frame.withColumn("ewma", F.when(F.size(past) > 0, fold))
 
 
-def har_features(frame: DataFrame) -> DataFrame:
-    """Daily, weekly and monthly realized variance with targets over the next 1, 5 and 22 rows; complete rows only."""
-    v = F.col("ret") * F.col("ret")
+def har_features(frame: DataFrame, value: Column | None = None) -> DataFrame:
+    """Daily, weekly and monthly variance (squared returns, or ``value``) with targets over the next 1, 5 and 22 rows; complete rows only."""
+    v = F.col("ret") * F.col("ret") if value is None else value
     ahead = lambda n: F.avg(v).over(W().rowsBetween(1, n))
     f = frame.withColumn("rv_1", v).withColumn("rv_5", F.avg(v).over(last(5))).withColumn("rv_22", F.avg(v).over(last(22)))
     f = f.withColumn("target_1", ahead(1)).withColumn("target_5", ahead(5)).withColumn("target_22", ahead(22)).withColumn("_n", F.count("ret").over(W().rowsBetween(1, 22)))

@@ -57,12 +57,12 @@ def move_probability(ret: np.ndarray, tau: float) -> tuple:
 
 
 def simulate(frame: DataFrame, paths: int = 2000, seed: int = 42, df: float | None = 5.0, boost: str | None = None) -> DataFrame:
-    """``frame`` (ticker, idx, horizon, sigma_1d, tau; omega, alpha, beta, gamma and jump_* where known) with OUT.
+    """``frame`` (ticker, idx, horizon, sigma_1d, tau; omega, alpha, beta, gamma and jump_* where known, t_df for its own degrees of freedom) with OUT.
 
     Rows where column ``boost`` holds use twice the paths. Rows without sigma or tau give nulls. Rows are dealt
     evenly before, since their cost is the same and a series may lie in one partition.
     """
-    names = [c for c in ("sigma_1d", "tau", "omega", "alpha", "beta", "gamma", "jump_rate", "jump_mean", "jump_dev") if c in frame.columns]
+    names = [c for c in ("t_df", "sigma_1d", "tau", "omega", "alpha", "beta", "gamma", "jump_rate", "jump_mean", "jump_dev") if c in frame.columns]
     f = frame.withColumn("_seed", seed_column(seed)).withColumn("_paths", F.when(F.col(boost), 2 * paths).otherwise(paths) if boost else F.lit(paths))
     cols = [*frame.columns]
 
@@ -78,7 +78,7 @@ def simulate(frame: DataFrame, paths: int = 2000, seed: int = 42, df: float | No
                 garch = {k: r[k] for k in ("omega", "alpha", "beta", "gamma")} if known else {}
                 jumps = (r["jump_rate"], r["jump_mean"], r["jump_dev"]) if "jump_rate" in r else None
                 rng = np.random.default_rng(int(r["_seed"]) % (1 << 63))
-                out.append(move_probability(terminal_returns(rng, s, int(r["horizon"]), int(r["_paths"]), df=df, jumps=jumps, **garch), tau))
+                out.append(move_probability(terminal_returns(rng, s, int(r["horizon"]), int(r["_paths"]), df=r.get("t_df", df), jumps=jumps, **garch), tau))
             got = pd.DataFrame(out, columns=["p_raw", "se", "ci_low", "ci_high", "paths", "q"], index=b.index)
             yield pd.concat([b[cols], got], axis=1)
 
@@ -86,6 +86,12 @@ def simulate(frame: DataFrame, paths: int = 2000, seed: int = 42, df: float | No
     return f.repartition(*[c for c in ("ticker", "idx", "horizon") if c in cols]).mapInPandas(run, schema)
 
 
+def regime_df(frame: DataFrame, low: float = 10.0, mid: float = 5.0, high: float = 4.0, pct: str = "pct", seen: str | None = None, least: int = 50) -> DataFrame:
+    """t_df by the volatility percentile: thinner tails when calm; the middle one while fewer than ``least`` values are known."""
+    df = F.when(F.col(pct).isNull(), mid).when(F.col(pct) < 0.25, low).when(F.col(pct) > 0.75, high).otherwise(mid)
+    return frame.withColumn("t_df", F.when(F.col(seen) < least, mid).otherwise(df) if seen else df)
+
+
 def path_table(spark, sigma: float, horizon: int, paths: int, seed: int = 42) -> DataFrame:
     """(path_id, step, log_price) of constant-volatility Gaussian paths, from built-in expressions; for inspection."""
     u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "path_id", "step", F.lit(k)), F.lit(1 << 40)) + 0.5) / float(1 << 40)

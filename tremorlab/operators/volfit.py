@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlab.operators.features import har_features
@@ -60,6 +60,46 @@ def fit_garch(returns: np.ndarray, model: str = "garch") -> dict:
     return {"sigma_1d": sigma, "omega": float(var * (1 - al - be - ga / 2)), "alpha": float(al), "beta": float(be), "gamma": float(ga), "source": model}
 
 
+def fit_egarch(returns: np.ndarray) -> dict:
+    """Log-variance model with sign effect by the same zooming grid; its mean log variance is the sample's."""
+    r = np.asarray(returns, dtype=float)
+    r = r[np.isfinite(r)]
+    none = {"omega": None, "alpha": None, "beta": None, "gamma": None}
+    var = float(np.mean(r * r)) if len(r) else 0.0
+    if len(r) < MIN_WINDOW or var < 1e-16:
+        return none | {"sigma_1d": ewma_sigma(r), "source": "ewma"}
+    a, b, g, best, mean_abs = (0.0, 0.5), (0.5, 0.999), (-0.3, 0.3), None, np.sqrt(2 / np.pi)
+    for _ in range(4):
+        A, B, G = (x.ravel() for x in np.meshgrid(np.linspace(*a, 7), np.linspace(*b, 7), np.linspace(*g, 5), indexing="ij"))
+        lh, nll = np.full(len(A), np.log(var)), np.zeros(len(A))
+        for x in r:
+            h = np.exp(lh)
+            nll += lh + x * x / h
+            z = x / np.sqrt(h)
+            lh = np.clip((1 - B) * np.log(var) + B * lh + A * (np.abs(z) - mean_abs) + G * z, np.log(var) - 12, np.log(var) + 12)
+        k = int(nll.argmin())
+        if best is None or nll[k] < best[0]:
+            best = (nll[k], A[k], B[k], G[k], lh[k])
+        zoom = lambda lo, hi, at: (max(lo, at - (hi - lo) / 5), min(hi, at + (hi - lo) / 5))
+        a, b, g = zoom(*a, best[1]), zoom(*b, best[2]), zoom(*g, best[3])
+    sigma = float(np.exp(best[4] / 2))
+    if not 0 < sigma <= 1:
+        return none | {"sigma_1d": ewma_sigma(r), "source": "ewma"}
+    return {"sigma_1d": sigma, "omega": float((1 - best[2]) * np.log(var)), "alpha": float(best[1]), "beta": float(best[2]), "gamma": float(best[3]), "source": "egarch"}
+
+
+def residuals(returns: np.ndarray, fit: dict) -> np.ndarray | None:
+    """Standardised residuals of a GARCH or GJR fit, null with fewer than 100."""
+    r = np.asarray(returns, dtype=float)
+    if fit["omega"] is None or fit["source"] == "egarch" or len(r) < 100:
+        return None
+    h, out = float(np.mean(r * r)), []
+    for x in r:
+        out.append(x / np.sqrt(h))
+        h = fit["omega"] + (fit["alpha"] + fit["gamma"] * (x < 0)) * x * x + fit["beta"] * h
+    return np.array(out)
+
+
 def ewma_sigma(r: np.ndarray) -> float:
     """Exponentially weighted deviation with span min(252, n), at least 1e-8."""
     if not len(r):
@@ -88,7 +128,7 @@ def garch_series(rets: DataFrame, every: int = 21, model: str = "garch", start:
         for t in idx[(idx // chunk == key[1]) & (idx % every == 0) & (idx >= start)]:
             seen = ret[(idx <= t) & (idx > t - WINDOW)]
             if model == "ensemble":
-                fits = [fit_garch(seen, m) for m in ("garch", "gjr")]
+                fits = [fit_garch(seen, "garch"), fit_garch(seen, "gjr"), fit_egarch(seen)]
                 one = fits[1] | {"sigma_1d": float(np.mean([f["sigma_1d"] for f in fits])), "source": "ensemble"}
             else:
                 one = fit_garch(seen, model)
@@ -113,9 +153,12 @@ def ridge(xtx: np.ndarray, xty: np.ndarray, penalty: float) -> np.ndarray:
     return np.linalg.solve(xtx + p, xty)
 
 
-def har_rv(rets: DataFrame, penalty: float = 0.01) -> DataFrame:
-    """HAR coefficients and R^2 by ticker and target: normal equations are summed by Spark, 4 x 4 systems solved in a grouped function."""
-    f = har_features(rets)
+def har_rv(rets: DataFrame, penalty: float = 0.01, value: Column | None = None) -> DataFrame:
+    """HAR coefficients and R^2 by ticker and target: normal equations are summed by Spark, 4 x 4 systems solved in a batch function.
+
+    ``value`` is the daily variance, squared returns where it is not given; Parkinson's or a sum with the overnight gap's are others.
+    """
+    f = har_features(rets, value)
     x = ["one", "rv_1", "rv_5", "rv_22"]
     f = f.withColumn("one", F.lit(1.0)).select("ticker", *x, F.explode(F.array(*[F.struct(F.lit(h).alias("target"), F.col(f"target_{h}").alias("y")) for h in (1, 5, 22)])).alias("t")).select("ticker", *x, "t.*")
     sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(x) for b in x[i:]] + [F.sum(F.col(a) * F.col("y")).alias(f"{a}__y") for a in x]

@@ -26,6 +26,7 @@ class WalkConfig:
     t_df: float | None = 5.0
     jumps: bool = False
     kind: str = "multi"
+    regime_tails: bool = False
     stationarity_target: float = 0.98
     start: int = 252
     tau_quantile: float = 0.8
@@ -55,6 +56,9 @@ def forecasts(panel: DataFrame, cfg: WalkConfig, thresholds: DataFrame | None =
     f = f.withColumn("sigma_1d", F.coalesce(vol.blend(F.col("sigma_1d"), F.col("vol_20"), 0.5), "sigma_1d"))
     keep = ["ticker", "idx", "dt", "horizon", "ret_h", "tau", "y", "boost", "regime", "source", "projected", "sigma_1d", "omega", "alpha", "beta", "gamma", *online.FEATURES]
     keep += [c for c in ("jump_rate", "jump_mean", "jump_dev") if cfg.jumps]
+    if cfg.regime_tails:
+        f = simulate.regime_df(f)
+        keep.append("t_df")
     return simulate.simulate(f.select(*keep), cfg.paths, cfg.seed, cfg.t_df, boost="boost")
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tremorlab.functions import scalar
+from tremorlab.operators import calibrate
 from tremorlab.operators import features as X
 from tremorlab.operators import govern as G
 from tremorlab.operators import metrics as M
 from tremorlab.operators import online, resample, simulate, study, volfit
 from tremorlab.operators.walkforward import WalkConfig, walk_forward
+from tremorlab.plans import governance_queries  # noqa: F401  its sub-queries are used here
 from tremorlab.plans.base import WT, R, labelled, pairs, panel, rets, scored, state
 from tremorlab.plans.registry import cte, query, r6
 from tremorlab.sources import store
@@ -30,6 +33,35 @@ def har_rv(spark, d):
     return volfit.har_rv(rets(spark, d))
 
 
+@query()
+def har_ohlc(spark, d):
+    f = X.range_features(rets(spark, d))
+    value = F.col("parkinson") + F.col("ret") * F.col("ret") + F.coalesce("gap_var", F.lit(0.0))
+    return volfit.har_rv(f, value=value)
+
+
+@query()
+def garch_cdf_baseline(spark, d):
+    """2 T(-tau / scale) with the latest fit's volatility and 5 degrees of freedom."""
+    f = volfit.carry_forward(scored(spark, d).where("horizon = 5"), volfit.garch_series(rets(spark, d), 126))
+    scale = F.col("sigma_1d") * F.sqrt("horizon") * (3.0 / 5.0) ** 0.5
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * scalar.t_cdf_5(-F.col("tau") / scale)))
+    return f.where("sigma_1d is not null").select("ticker", "idx", "horizon", "y", p.alias("p"))
+
+
+@query()
+def mc_regime_tails(spark, d):
+    f = simulate.regime_df(X.percentile_rank(scored(spark, d).where("idx % 40 = 0").drop("pct")))
+    return simulate.simulate(f.select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau", "t_df"), 1000)
+
+
+@query(f"""SELECT ticker, {r6('avg(abs(a - pa)) FILTER (n > m - 50)')} AS velocity, {r6('max(a) FILTER (n > m - 100) - min(a) FILTER (n > m - 100)')} AS spread FROM
+ (SELECT *, lag(a) OVER (PARTITION BY ticker ORDER BY n) AS pa, max(n) OVER (PARTITION BY ticker) AS m FROM platt_walk) GROUP BY ticker""")
+def convergence_velocity(spark, d):
+    s = scored(spark, d).where("horizon = 5 and y is not null and p is not null and idx < 652")
+    return calibrate.convergence(calibrate.platt_trace(s, ["ticker"]), ["ticker"]).select("ticker", R("velocity", "velocity"), R("spread", "spread"))
+
+
 @query()
 def mc_gbm(spark, d):
     f = scored(spark, d).where("idx % 20 = 0").select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau", "p")
