@@ -91,7 +91,7 @@ def dq_skew_kurt(spark, d):
     return Q.skew_kurt(rets(spark, d), "ret", ["ticker"]).select("ticker", R("skew", "skew"), R("kurt", "kurt"))
 
 
-@query("SELECT ticker, 'outlier' AS issue, count(*) AS n FROM rets JOIN (SELECT ticker, quantile_cont(ret, 0.25) q1, quantile_cont(ret, 0.75) q3 FROM rets GROUP BY ticker) USING (ticker) WHERE ret < q1 - 5 * (q3 - q1) OR ret > q3 + 5 * (q3 - q1) GROUP BY 1 UNION ALL SELECT ticker, 'split_like', count(*) FROM (SELECT ticker, list_min(list_transform([2, 3, 4, 5, 10, 1/2, 1/3, 1/4, 1/5, 1/10], lambda k: abs((1 + ret) - k) / k)) AS err FROM rets) WHERE err <= 0.08 GROUP BY 1")
+@query(f"SELECT ticker, 'gap' AS issue, count(*) AS n FROM (SELECT ticker, {BD.format(a='lag_dt', b='dt')} AS gap FROM (SELECT ticker, dt, lag(dt) OVER (PARTITION BY ticker ORDER BY dt) AS lag_dt FROM panel)) WHERE gap > 5 GROUP BY 1 UNION ALL SELECT ticker, 'outlier', count(*) AS n FROM rets JOIN (SELECT ticker, quantile_cont(ret, 0.25) q1, quantile_cont(ret, 0.75) q3 FROM rets GROUP BY ticker) USING (ticker) WHERE ret < q1 - 5 * (q3 - q1) OR ret > q3 + 5 * (q3 - q1) GROUP BY 1 UNION ALL SELECT ticker, 'split_like', count(*) FROM (SELECT ticker, list_min(list_transform([2, 3, 4, 5, 10, 1/2, 1/3, 1/4, 1/5, 1/10], lambda k: abs((1 + ret) - k) / k)) AS err FROM rets) WHERE err <= 0.08 GROUP BY 1")
 def dq_report(spark, d):
     return Q.report(panel(spark, d)).select("ticker", "issue", "n")
 
@@ -118,7 +118,7 @@ def regime_route(spark, d):
     return X.regime_bin(state(spark, d)).select("ticker", "idx", "regime", "regime_bin")
 
 
-GATED = "(SELECT *, CASE WHEN horizon = 5 THEN 0.3 ELSE 0.4 END AS thr_fixed, 2.0 * sigma * sqrt(horizon) AS thr_anchored FROM ahead)"
+GATED = "(SELECT *, CASE WHEN horizon = 5 THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END AS thr_fixed, 2.0 * sigma * sqrt(horizon) AS thr_anchored FROM ahead)"
 
 
 @query(f"SELECT ticker, idx, horizon, {r6('thr_fixed')} AS thr_fixed FROM {GATED}")

@@ -48,4 +48,4 @@ def query(sql: str | None = None) -> Callable:
 
 def r6(x: str) -> str:
     """SQL rounding to six digits without a negative zero."""
-    return f"(round({x}, 6) + 0.0)"
+    return f"(round({x}, 6) + 0.0::DOUBLE)"
