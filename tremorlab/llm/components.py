@@ -10,9 +10,10 @@ from tremorlab.llm.common import materialize
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Row count and an order-free sum over the rows; two scalars, whatever the size."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: every node hangs on one other at most, and none that hangs carries others."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("carries")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("carries")))
+    return ends.groupBy("node").agg(F.sum("hangs").alias("h"), F.max("carries").alias("c")).where("h > 1 or (h = 1 and c = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,19 +29,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") > F.col("v"))).distinct(),
         "edges",
     )
-    state = _state(now)
     for _ in range(MAX_ROUNDS):
-        if not state[0]:
+        if _settled(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = materialize(small.distinct(), "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
