@@ -29,6 +29,8 @@ END_ID = 2
 OPEN_WINDOWS = 2048
 CACHE_ROWS = 800_000
 CACHE_CHARS = 64
+#: Unknown words that go through the tokenizer as one text.
+WORDS_AT_ONCE = 4000
 #: Characters of text whose unknown words are encoded together.
 CHUNK_CHARS = 4_000_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -51,6 +53,20 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of texts without white space: many are encoded as one text, then parted by the offsets of the ids."""
+        out = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            begin = np.array([a for a, _ in e.offsets], dtype=np.int64)
+            ends = np.cumsum([len(w) + 1 for w in part])
+            cut = np.searchsorted(begin, ends, side="left").tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * i : 4 * j] for i, j in zip([0, *cut], cut)]
+        return out
+
     def _learn(self, words: set[str]) -> None:
         """Words without their closing ASCII punctuation, in lower case, are fewer; the tokenizer splits there anyway."""
         parts = []
@@ -61,7 +77,7 @@ class WordTokenizer:
             else:
                 parts.append((w, w, ""))
         new = list({p for _, core, tail in parts for p in (core, tail)} - self.cores.keys())
-        self.cores.update(zip(new, self._encode(new)))
+        self.cores.update(zip(new, self._encode_words(new)))
         for w, core, tail in parts:
             self.ids[w] = self.cores[core] + self.cores[tail]
 
