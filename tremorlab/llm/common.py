@@ -49,6 +49,11 @@ def fold_of(id_col: str, folds: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
+def hash_share(col: str) -> F.Column:
+    """A number from 0 to 1 that a column's value is hashed to, for repeatable samples."""
+    return F.pmod(F.xxhash64(F.lit(17), F.col(col)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def chunks(texts: list[str], chars: int) -> Iterator[list[str]]:
     """Consecutive runs of whole texts of about ``chars`` characters."""
     now, size = [], 0

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlab.llm.common import fold_of, map_lists, typed
+from tremorlab.llm.common import fold_of, hash_share, map_lists, typed
 
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 4, 2
@@ -128,7 +128,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on up to ``train_rows`` labelled documents outside the held-out fold, chosen by a hash of the id."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     ok = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT))
-    chosen = ok.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    # the hash threshold leaves about twice the rows wanted, whatever the table's size, so that the sort stays small
+    share = 2.0 * train_rows / max(ok.count(), 1)
+    chosen = ok.select("doc_id").where(hash_share("doc_id") < share).orderBy(hash_share("doc_id"), "doc_id").limit(train_rows)
     sample = ok.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:

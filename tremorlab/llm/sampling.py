@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlab.llm.common import fold_of
+from tremorlab.llm.common import fold_of, hash_share
 
 
 def labelled_sample(labels: DataFrame, label_col: str, id_col: str, folds: int, held_out: int, rows_per_class: int) -> tuple[DataFrame, dict]:
@@ -16,7 +16,9 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, folds: int,
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold_of("doc_id", folds) != held_out))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["count"] for r in known.where(F.col("label").isin(0, 1)).groupBy("label").count().collect()}
-    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
+    # the hash threshold leaves about twice the rows wanted, whatever the table's size, so that the sort stays small
+    share = {c: 2.0 * rows_per_class / max(counts.get(c, 0), 1) for c in (0, 1)}
+    parts = [known.where((F.col("label") == c) & (hash_share("doc_id") < share[c])).orderBy(hash_share("doc_id"), "doc_id").limit(rows_per_class) for c in (0, 1)]
     return parts[0].unionByName(parts[1]), counts
 
 

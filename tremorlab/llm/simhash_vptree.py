@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlab.llm.common import map_lists, materialize, typed
+from tremorlab.llm.common import hash_share, map_lists, materialize, typed
 from tremorlab.llm.components import connected_components
 
 BITS = 3
@@ -160,7 +160,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Edges (src, dst) between distinct fingerprints (column fp) whose components are those of all links within BITS bits."""
     spark = distinct.sparkSession
     n = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    # about SAMPLE rows, drawn by a hash: neither the rows nor the driver's share grow with the data
+    drawn = distinct.where(hash_share("fp") < SAMPLE / max(n, 1)).select("fp").collect()
+    sample = np.sort(np.array([r[0] for r in drawn], dtype=np.int64)).view(np.uint64)
     leaf = max(8, int(SHARD_ROWS * len(sample) / max(n, 1)))
     trees = [(mask, build_tree(sample, mask, leaf)) for mask in HALVES]
 
