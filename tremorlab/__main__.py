@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from tremorlab import plans
-from tremorlab.session import build_session
+from tremorlab.session import build_session, reachable
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -27,7 +27,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.do == "sql":
         print(plans.oracle_sql().get(a.name, "no SQL form"))
     else:
-        df = plans.queries()[a.name](build_session(a.master), a.data)
+        df = plans.queries()[a.name](reachable(build_session(a.master)), a.data)
         df.write.format(a.format).option("header", True).save(a.out) if a.out else df.show(50, truncate=False)
 
 
