@@ -12,6 +12,7 @@ from tremorlab.llm.line_dedup import dedup_lines
 from tremorlab.llm.packing import pack
 from tremorlab.llm.secret_scan import redact
 from tremorlab.llm.simhash_vptree import simhash_components
+from tremorlab.session import reachable
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -20,8 +21,11 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not identified go: null texts, texts without a letter, scores under one half."""
-    return language_id.keep_identified(docs, language_id.train(docs))
+    """Documents without a language go: null texts and texts without a letter.
+
+    Unsure ones stay: on check_s the scores under one half were short or mixed but clean texts.
+    """
+    return language_id.keep_identified(docs, language_id.train(docs), least=0.0)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
