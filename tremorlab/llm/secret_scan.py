@@ -118,15 +118,26 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def merged(spans: F.Column) -> F.Column:
+    """Sorted (start, end) spans with those that overlap made one, so that each position is replaced once."""
+
+    def step(acc: F.Column, s: F.Column) -> F.Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """The input with every live-looking value replaced by a fixed mark; all rows, columns and other text stay."""
+    """The input with every live-looking value replaced by a fixed mark, overlapping ones by one mark; all rows, columns and other text stay."""
     found = scan_secrets(docs, id_col, text_col, owner_col).where("n_live > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("live").alias("__live"))
     found = materialize(found, "live").dropDuplicates(["__id", "__key"])
     keyed = docs.withColumn("__key0", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     both = keyed.join(found, keyed[id_col].eqNullSafe(found["__id"]) & (F.col("__key0") == F.col("__key")), "left")
     # from the last span to the first, so that earlier positions stay valid
     t = F.aggregate(
-        F.reverse("__live"),
+        F.reverse(merged(F.col("__live"))),
         F.col(text_col),
         lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), F.lit(REDACTED), F.substring(acc, s["end"] + 1, F.length(acc))),
     )
