@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Three base patterns give spans in each text. The value of every match is a candidate; candidate
-hashes are aggregated over the whole corpus by distinct owners and repositories. A value that
-several owners hold is an example that was copied around; one that few owners hold and that does not
-look like a placeholder is a live-looking credential, and gets a further span of kind ``live``.
+hashes are aggregated over the whole corpus by distinct owners, repositories and texts. A value that
+several owners hold, or many repositories with different texts, be they of one owner, is an example that was
+copied around; one that few hold and that does not look like a placeholder is a live-looking credential, and
+gets a further span of kind ``live``.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ KINDS = ("assign", "access", "hex", "live")
 
 #: A value held by this many owners or more is a widely copied example.
 WIDE_OWNERS = 3
+#: So is one in this many repositories and this many different texts or more, whoever owns them; copies of one text count once.
+WIDE_REPOS = 10
 #: Bits of entropy a character and length that a live-looking value has at least.
 LIVE_ENTROPY = 2.5
 LIVE_LENGTH = 8
@@ -90,13 +93,15 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> D
 
 
 def ownership(values: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repos): distinct owners and repositories of each candidate; each step combines before its shuffle."""
+    """(hash, n_owners, n_repos, n_texts): distinct owners, repositories and texts of each candidate; each step combines before its shuffle."""
     by_repo = values.select("hash", "owner", "repo").distinct()
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
+    owners = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
+    texts = values.select("hash", "text_key").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n_texts"))
+    return owners.join(texts, "hash")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide_owners: int = WIDE_OWNERS, wide_repos: int = WIDE_REPOS) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live, text_key.
 
     A document is its own repository. Null texts are empty and have no spans; null owners count as one owner;
@@ -104,9 +109,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (start, end) that ``spans`` lists as kind live, ``text_key`` the text's hash. An empty table gives an empty result.
     """
     base = materialize(candidates(docs, id_col, text_col, owner_col), "candidates")
-    values = base.select("rid", "owner", F.col("doc_id").alias("repo"), F.explode("values").alias("v")).select("rid", "owner", "repo", "v.*")
+    values = base.select("rid", "owner", "text_key", F.col("doc_id").alias("repo"), F.explode("values").alias("v")).select("rid", "owner", "repo", "text_key", "v.*")
     owned = ownership(values.where("live"))
-    own = owned.where(F.col("n_owners") < wide_owners).select("hash")
+    own = owned.where((F.col("n_owners") < wide_owners) & (F.least("n_repos", "n_texts") < wide_repos)).select("hash")
     live = values.where("live").join(own, "hash").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("live"))
     all_spans = F.array_sort(F.concat("base", F.transform("live", lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))))
     name = F.array(*[F.lit(k) for k in KINDS])
