@@ -28,6 +28,17 @@ def test_likeness_follows_what_is_shared():
     assert of(doc).likeness(of(doc)) == 1.0 == of("").likeness(of("")) and of("").likeness(of("a")) == 0.0
 
 
+def test_likeness_survives_a_word_inserted_or_deleted():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    for paragraphs, words, least in ((1, 240, 0.95), (8, 30, 0.8)):
+        doc = [[word() for _ in range(words)] for _ in range(paragraphs)]
+        text = "\n".join(map(" ".join, doc))
+        longer = "\n".join(" ".join([*w[:1], word(), *w[1:]]) for w in doc)
+        shorter = "\n".join(" ".join([*w[:2], *w[3:]]) for w in doc)
+        assert of(text).likeness(of(longer)) > least and of(text).likeness(of(shorter)) > least
+
+
 def test_query_equals_a_walk_in_order(spark):
     rng = random.Random(9)
     rows = [(rng.randrange(10**6) * 2 + 2**60, "".join(rng.choice("ab \né") for _ in range(rng.choice([0, 1, 2, 5, 300])))) for _ in range(300)]

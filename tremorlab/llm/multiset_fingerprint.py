@@ -3,8 +3,8 @@
 A fingerprint is a wide vector, the sum over paragraphs of vectors hashed from them, each lane modulo
 a power of two. Sums do not depend on order, and adding or subtracting a paragraph's vector inserts
 or deletes it. The vector has two ranges: 4 lanes modulo 2**64 hashed from the whole paragraph, which
-tell unequal multisets apart, and 256 lanes modulo 2**16 in which every run of at most four words of
-the paragraph adds +1 or -1; the inner product of two such ranges estimates how many runs two
+tell unequal multisets apart, and 256 lanes modulo 2**16 in which every run of four words of the paragraph,
+each starting a word after the last, adds +1 or -1, as does a shorter paragraph as a whole; the inner product of two such ranges estimates how many runs two
 documents share, which gives a likeness.
 """
 
@@ -82,7 +82,7 @@ def paragraph_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     x128, runs = xxhash.xxh3_128_digest, []
     for p in parts:
         words = p.encode().split()
-        runs += [b" ".join(words[i : i + UNIT_WORDS]) for i in range(0, len(words), UNIT_WORDS)] or [b""]
+        runs += [b" ".join(words[i : i + UNIT_WORDS]) for i in range(max(1, len(words) - UNIT_WORDS + 1))]
     for at in range(0, len(runs), 4096):
         part = runs[at : at + 4096]
         bits = np.unpackbits(np.frombuffer(b"".join([x128(r, seed) for r in part for seed in range(LIKE_LANES // 128)]), dtype=np.uint8).reshape(len(part), -1), axis=1)
