@@ -51,7 +51,7 @@ def garch_cdf_baseline(spark, d):
 
 @query()
 def mc_regime_tails(spark, d):
-    f = simulate.regime_df(X.percentile_rank(scored(spark, d).where("idx % 40 = 0").drop("pct")))
+    f = simulate.regime_df(X.percentile_rank(scored(spark, d).drop("pct")))
     return simulate.simulate(f.select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau", "t_df"), 1000)
 
 
@@ -64,13 +64,13 @@ def convergence_velocity(spark, d):
 
 @query()
 def mc_gbm(spark, d):
-    f = scored(spark, d).where("idx % 20 = 0").select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau", "p")
+    f = scored(spark, d).select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau", "p")
     return simulate.simulate(f, 1000, df=None)
 
 
 @query()
 def mc_garch_jumps(spark, d):
-    f = scored(spark, d).where("idx % 40 = 0").select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau", (0.02 * F.col("vol_20") * F.col("vol_20")).alias("omega"), F.lit(0.08).alias("alpha"), F.lit(0.88).alias("beta"), F.lit(0.04).alias("gamma"), F.lit(2.0).alias("jump_rate"), F.lit(-0.02).alias("jump_mean"), F.lit(0.04).alias("jump_dev"))
+    f = scored(spark, d).select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau", (0.02 * F.col("vol_20") * F.col("vol_20")).alias("omega"), F.lit(0.08).alias("alpha"), F.lit(0.88).alias("beta"), F.lit(0.04).alias("gamma"), F.lit(2.0).alias("jump_rate"), F.lit(-0.02).alias("jump_mean"), F.lit(0.04).alias("jump_dev"))
     return simulate.simulate(f, 1000)
 
 
@@ -110,7 +110,7 @@ def ablation(spark, d):
 
 @query()
 def seed_stability(spark, d):
-    f = scored(spark, d).where("idx % 100 = 0").select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau")
+    f = scored(spark, d).select("ticker", "idx", "horizon", F.col("vol_20").alias("sigma_1d"), "tau")
     from functools import reduce
 
     parts = [simulate.simulate(f, 500, seed=s).select("ticker", "idx", "horizon", F.lit(s).alias("seed"), "p_raw") for s in (1, 2, 3)]
