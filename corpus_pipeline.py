@@ -21,11 +21,11 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter.
+    """Documents in no learned language go: null texts, texts without a letter and those the trained model rejects.
 
-    Unsure ones stay: on check_s the scores under one half were short or mixed but clean texts.
+    Short and mixed texts stay, and all documents where no language was learned.
     """
-    return language_id.keep_identified(docs, language_id.train(docs), least=0.0)
+    return language_id.keep_identified(docs, language_id.train(docs), least=None)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,3 +51,17 @@ def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert L.predict_languages(df, L.train(df)).first().lang_pred == "und"
     assert L.predict_languages(df.where("false"), L.train(df.where("false"))).count() == 0
+
+
+def test_pipeline_stage_rejects_what_is_in_no_language(spark):
+    import base64
+
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    clean = corpus(400) + [(500 + i, " ".join(rng.choice(WORDS["aa"] + WORDS["bb"]) for _ in range(80)), "aa") for i in range(20)] + [(600, "der", "aa"), (601, "the and", None)]
+    junk = [base64.b64encode(rng.randbytes(900)).decode(), "\u044d\u0442\u043e \u0442\u0435\u043a\u0441\u0442 " * 40, " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(99)), rng.randbytes(600).hex(), "12 !!", None]
+    df = spark.createDataFrame(clean + [(900 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_stage(spark, df, "").collect()} == {i for i, _, _ in clean}
+    unlabelled = df.withColumn("lang", df.lang.substr(1, 0)).selectExpr("doc_id", "text", "nullif(lang, '') lang")
+    assert corpus_pipeline.language_stage(spark, unlabelled, "").count() == len(clean) + len(junk)

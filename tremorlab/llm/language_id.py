@@ -26,6 +26,12 @@ TRAIN_ROWS = 2400
 BITS = 15
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
+#: Texts with fewer letters and gaps than this are too short to be rejected.
+SHORT = 64
+#: Rejected is what has less than this share of the least contrast of held-out clean texts that are as long or longer.
+SLACK = 0.5
+#: Held-out texts that such a least contrast rests on, at least; the least of fewer bounds nothing, so nothing is rejected then.
+FLOOR_ROWS = 50
 #: Text handled at once, to bound memory for very long documents.
 CHUNK = 1 << 19
 
@@ -69,6 +75,7 @@ class LanguageModel:
     weights: np.ndarray  # languages x features
     idf: np.ndarray
     temperature: float = 1.0
+    floors: tuple[float, ...] = ()  # by length class, the contrast below which a text is rejected
 
     def logits(self, text: str) -> np.ndarray:
         idx, n = ngram_counts(text)
@@ -85,6 +92,43 @@ class LanguageModel:
         return self.languages[k], float(p[k])
 
 
+    def accepts(self, text: str | None) -> bool:
+        """Whether the text is in a learned language, or in several: not where no language stands out from any other.
+
+        The contrast is the calibrated log odds of the likeliest against the least likely language. Short texts
+        are accepted, and so is everything where no language was learned; else a text needs a letter.
+        """
+        if not self.languages:
+            return True
+        if not has_letter(text):
+            return False
+        idx, n = ngram_counts(text)
+        k = length_class(n)
+        if not self.floors or k < length_class(np.array([3 * SHORT])):
+            return True
+        z = self.weights[:, idx] @ tf_vector(n, self.idf[idx]) / self.temperature
+        return bool(z.max() - z.min() >= self.floors[min(k, len(self.floors) - 1)])
+
+
+def length_class(counts: np.ndarray) -> int:
+    """The number of bits of a text's length, a third of its 1- to 3-grams."""
+    return int(counts.sum() // 3).bit_length()
+
+
+def contrast_floors(rows: list[tuple[int, float]]) -> tuple[float, ...]:
+    """For each length class, SLACK times the least contrast of rows (class, contrast) of this or a longer class.
+
+    Classes with fewer than FLOOR_ROWS such rows take what the next shorter one has; empty where none has enough.
+    """
+    floors: list[float] = []
+    for k in range(max((r[0] for r in rows), default=-1) + 1):
+        longer = [c for at, c in rows if at >= k]
+        if len(longer) < FLOOR_ROWS:
+            break
+        floors.append(float(SLACK * min(longer)))
+    return tuple(floors)
+
+
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, features: int, epochs: int = EPOCHS) -> np.ndarray:
     """Weights by FTRL-proximal, per-coordinate steps, over the rows in a fixed shuffled order."""
     z, n = np.zeros((classes, features)), np.zeros((classes, features))
@@ -148,11 +192,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
     data = [(idx, tf_vector(n, idf[idx]), languages.index(lang)) for _, lang, idx, n in rows]
     kept, part = [r for i, r in enumerate(data) if i % 5 == 4], [r for i, r in enumerate(data) if i % 5 != 4]
-    t = 1.0
+    t, floors = 1.0, ()
     if kept and len(languages) > 1:
         w = ftrl(part, len(languages), 1 << BITS)
-        t = temperature(np.array([w[:, i] @ x for i, x, _ in kept]), np.array([y for _, _, y in kept]))
-    return LanguageModel(languages, ftrl(data, len(languages), 1 << BITS), idf, t)
+        z = np.array([w[:, i] @ x for i, x, _ in kept])
+        t = temperature(z, np.array([y for _, _, y in kept]))
+        sizes = [length_class(r[3]) for i, r in enumerate(rows) if i % 5 == 4]
+        floors = contrast_floors([(k, (v.max() - v.min()) / t) for k, v, (_, _, y) in zip(sizes, z, kept) if v.argmax() == y])
+    return LanguageModel(languages, ftrl(data, len(languages), 1 << BITS), idf, t, floors)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,12 +220,14 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return map_lists(rows, run, typed(docs, id_col, held_out=T.BooleanType(), lang_pred=T.StringType(), score=T.DoubleType()))
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose language is identified with a score of ``least`` or more, with all columns as they are."""
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float | None = 0.5) -> DataFrame:
+    """The rows whose language is identified with a score of ``least`` or more, or that the model accepts where ``least`` is None; all columns as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
+        if least is None:
+            return texts.map(sent.value.accepts)
         return texts.map(lambda t: (lambda g: g[0] != UNDETERMINED and g[1] >= least)(sent.value.predict(t)))
 
     return docs.where(keep(F.col(text_col)))
