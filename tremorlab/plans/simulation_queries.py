@@ -20,7 +20,7 @@ from tremorlab.streaming import live
 
 @query()
 def garch_fit(spark, d):
-    return volfit.garch_series(rets(spark, d), 126, "garch")
+    return volfit.garch_series(rets(spark, d), 21, "garch")
 
 
 @query()
@@ -43,7 +43,7 @@ def har_ohlc(spark, d):
 @query()
 def garch_cdf_baseline(spark, d):
     """2 T(-tau / scale) with the latest fit's volatility and 5 degrees of freedom."""
-    f = volfit.carry_forward(scored(spark, d).where("horizon = 5"), volfit.garch_series(rets(spark, d), 126))
+    f = volfit.carry_forward(scored(spark, d).where("horizon = 5"), volfit.garch_series(rets(spark, d), 21))
     scale = F.col("sigma_1d") * F.sqrt("horizon") * (3.0 / 5.0) ** 0.5
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * scalar.t_cdf_5(-F.col("tau") / scale)))
     return f.where("sigma_1d is not null").select("ticker", "idx", "horizon", "y", p.alias("p"))
