@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of the filter that keeps rows which nothing needs from being shuffled: 4 MB when broadcast, whatever the data.
+FILTER_BITS = 1 << 25
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local mode)."""
+    """The folder named by ``spark.checkpoint.dir``; in local mode a temporary one where that is unset, elsewhere an error."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = getattr(spark, "_tremor_shared", None)
         if named is None:
             named = "file://" + tempfile.mkdtemp(prefix="tremorlab-")
@@ -25,18 +31,79 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Scratch:
+    """Tables of one computation, deleted together at its end or one by one before."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written to the shared folder and read back, until the scratch ends."""
+        out = materialize(df, label)
+        self.paths.append(out._tremor_path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no result still to be computed reads."""
+        for path in [t._tremor_path for t in tables]:
+            if path in self.paths:
+                self.paths.remove(path)
+                _delete(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
+
+
+def _path(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, hadoop = _path(spark, path)
+    fs.delete(hadoop, True)
+    fs.cancelDeleteOnExit(hadoop)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage (a lost executor costs no recomputation of what came before) and lets later
-    steps read single columns. The files go when the driver's JVM ends.
+    steps read single columns. Shuffle files of the write go at its end, the table when a ``Scratch`` drops it or the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, was)
+    fs, hadoop = _path(spark, path)
+    fs.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tremor_path = path
+    return out
+
+
+def keep_only(rows: DataFrame, needed: DataFrame, col: str) -> DataFrame:
+    """``rows`` whose long ``col`` is in ``needed``: first by a bitmap of fixed size that is broadcast, then exactly."""
+    at = F.pmod(F.col(col), F.lit(FILTER_BITS))
+    bits = needed.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    r = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket")
+    place = f"bitmap_bit_position(pmod({col}, {FILTER_BITS}L))"
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast({place} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    r = r.withColumn("byte", byte).where(F.expr(f"shiftright(byte, cast({place} % 8 as int)) & 1") == 1)
+    return r.select(*rows.columns).join(needed.select(col), col, "left_semi")
 
 
 def text_or_empty(col: str = "text") -> F.Column:
