@@ -87,3 +87,35 @@ def test_search_loses_no_link_when_shards_are_divided(monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, fp int, component string")
     assert S.simhash_components(df).count() == 0
+
+
+def test_one_document_of_each_component_stays(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda: " ".join(word() for _ in range(80))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(1, a), (2, a), (2, a), (None, a), (3, b), (3, c), (None, d), (None, e), (None, d), (5, f), (5, f), (9, None), (8, ""), (7, " ")]
+    rows += [(100 + i, t) for i, t in enumerate(w for _ in range(60) for w in [text()])]
+    names = ["doc_id", "text", "c0", "c1", "text_key", "fp", "n", "unsure", "stays", "__keep", "__rn", "component"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"'{x}' `{x}`" for x in names[2:]]).repartition(4)
+    out = S.drop_near_duplicates(df)
+    assert out.columns == names
+    got = out.collect()
+    want = [(1, a), (3, b), (3, c), (None, d), (None, e), (5, f), (7, " "), *rows[14:]]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(list(r)[2:] == names[2:] for r in got)
+    assert S.drop_near_duplicates(df.where("false")).count() == 0
+
+
+def test_rows_sent_do_not_grow_faster_than_the_input():
+    """Shard rows of each input row, with trees on a sample of bounded size, at ten times the input."""
+    rng = np.random.default_rng(1)
+    sent = []
+    for n in (100_000, 1_000_000):
+        f = rng.integers(0, 2**63, n, dtype=np.uint64) * 2 + rng.integers(0, 2, n, dtype=np.uint64)
+        sample = f[: S.SAMPLE]
+        nodes = S.build_tree(sample, S.HALVES[0], max(8, int(S.SHARD_ROWS * len(sample) / n)))
+        rows, shards = S.route(f, nodes, S.HALVES[0])
+        assert np.bincount(shards).max() < S.BLOCK_ROWS
+        sent.append(len(rows) / n)
+    assert sent[1] < 2 * sent[0] < 12

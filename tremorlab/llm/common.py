@@ -95,15 +95,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def keep_only(rows: DataFrame, needed: DataFrame, col: str) -> DataFrame:
-    """``rows`` whose long ``col`` is in ``needed``: first by a bitmap of fixed size that is broadcast, then exactly."""
+def flag_by_bitmap(rows: DataFrame, needed: DataFrame, col: str, flag: str) -> DataFrame:
+    """``rows`` with a column that is false only where the long ``col`` is not in ``needed``, by a bitmap of fixed size that is broadcast."""
     at = F.pmod(F.col(col), F.lit(FILTER_BITS))
     bits = needed.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    r = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket")
+    r = rows.withColumn("bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "bucket", "left")
     place = f"bitmap_bit_position(pmod({col}, {FILTER_BITS}L))"
     byte = F.conv(F.hex(F.expr(f"substring(bits, cast({place} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    r = r.withColumn("byte", byte).where(F.expr(f"shiftright(byte, cast({place} % 8 as int)) & 1") == 1)
-    return r.select(*rows.columns).join(needed.select(col), col, "left_semi")
+    hit = F.coalesce(F.expr(f"(shiftright(byte, cast({place} % 8 as int)) & 1) = 1"), F.lit(False))
+    return r.withColumn("byte", byte).withColumn(flag, hit).select(*rows.columns, flag)
+
+
+def keep_only(rows: DataFrame, needed: DataFrame, col: str) -> DataFrame:
+    """``rows`` whose long ``col`` is in ``needed``: first by the bitmap, then exactly."""
+    return flag_by_bitmap(rows, needed, col, "hit").where("hit").drop("hit").join(needed.select(col), col, "left_semi")
 
 
 def text_or_empty(col: str = "text") -> F.Column:

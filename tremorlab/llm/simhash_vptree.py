@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlab.llm.common import hash_share, map_lists, materialize, typed
+from tremorlab.llm.common import Scratch, flag_by_bitmap, hash_share, map_lists, materialize, text_or_empty, typed
 from tremorlab.llm.components import connected_components
 
 BITS = 3
@@ -31,8 +31,11 @@ HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
 SAMPLE = 32768
 SHARD_ROWS = 4000
 MAX_DEPTH = 12
-#: Shards above this many rows are searched as pairs of blocks, each pair a group of its own.
-BLOCK_ROWS = 16000
+#: Shards above this many rows, 16 MB, are searched as pairs of blocks, each pair a group of its own. The trees have 4096 leaves a half at
+#: most, so up to some billions of fingerprints a shard is one group, which ``search`` divides further in memory.
+BLOCK_ROWS = 1 << 21
+#: A fingerprint with over 1/FREQUENT of the rows has its component broadcast; there are fewer than FREQUENT of these.
+FREQUENT = 4096
 #: In memory, sets above this size are divided further before all pairs are compared.
 DIRECT = 1024
 
@@ -56,15 +59,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): the text's hash, null counting as empty, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield {"doc_id": b["doc_id"], "fp": fp}
+            yield {"doc_id": b["doc_id"], "text_key": b["text_key"], "fp": fp}
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_lists(rows, run, typed(docs, id_col, fp=T.LongType()))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return map_lists(rows, run, typed(docs, id_col, text_key=T.LongType(), fp=T.LongType()))
 
 
 def _vantage(points: np.ndarray, mask: np.uint64, tries: int = 8) -> tuple[np.uint64, int, np.ndarray]:
@@ -193,6 +196,22 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return dealt.groupBy("shard", "i", "j").applyInPandas(find, "src long, dst long")
 
 
+def _components(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, n, component) over the distinct fingerprints of ``prints``; n is the number of rows."""
+    distinct = scratch.table(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    members = connected_components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
+    return scratch.table(distinct.join(members, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component")), "components")
+
+
+def _with_component(prints: DataFrame, of: DataFrame, *more: str) -> DataFrame:
+    """``prints`` with what ``of`` (fp, n, more) has of their fingerprints; frequent ones are decided on the map side."""
+    rows = of.agg(F.sum("n")).first()[0] or 0
+    of = of.withColumn("often", F.col("n") * FREQUENT > rows)
+    often = F.broadcast(of.where("often").select("fp", *more))
+    rare = prints.join(often.select("fp"), "fp", "left_anti").join(of.where("not often").select("fp", *more), "fp", "left")
+    return prints.join(often, "fp").unionByName(rare)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -200,10 +219,40 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Equal fingerprints are joined before any search, so copies cost one row each. A component's id is its smallest doc_id; null ids never are it
     unless a component has no other. Other columns are ignored; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    members = connected_components(fingerprint_links(distinct)).withColumnRenamed("node", "fp")
-    joined = distinct.join(members, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = materialize(joined.join(least, "component").select("fp", "component_id"), "components")
-    return prints.join(of, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = materialize(fingerprints(docs, id_col, text_col).drop("text_key"), "fingerprints")
+    with Scratch(docs.sparkSession) as scratch:
+        groups = _components(prints, scratch)
+        least = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(groups, "fp").groupBy("component").agg(F.min("rep").alias("component_id"))
+        of = materialize(groups.join(least, "component").select("fp", "n", "component_id"), "component-ids")
+    return _with_component(prints, of, "component_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with all columns: that of the smallest id, then of the smallest hash of its text.
+
+    A document is an id with a text: rows that repeat both are one document, different texts under one id or under none are
+    several. Null texts count as empty, as in their fingerprint; null ids come after all others. Columns may have any
+    names. Only the rows that a bitmap of fixed size cannot clear are shuffled. An empty table gives an empty result.
+    """
+    of, text = docs.columns.index(id_col), docs.columns.index(text_col)
+    # columns go by number inside, so that no name of the input can clash
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows = rows.withColumns({"doc_id": F.col(f"c{of}"), "text_key": F.xxhash64(text_or_empty(f"c{text}"))})
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.table(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "id"), "fingerprints")
+        groups = _components(prints, scratch)
+        each = _with_component(prints, groups, "component").groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+        each = scratch.table(each, "identities")
+        first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("members"))
+        # components of one document that occurs once need no decision
+        odd = each.join(first.where("members > 1"), "component", "left").where("members > 1 or times > 1")
+        stays = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+        odd = materialize(odd.select("doc_id", "text_key", "times", stays.alias("stays")), "odd-identities")
+    flagged = flag_by_bitmap(rows, odd.select("text_key"), "text_key", "unsure")
+    same = flagged["doc_id"].eqNullSafe(odd["doc_id"]) & (flagged["text_key"] == odd["text_key"])
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    clear = flagged.where("not unsure").select(columns)
+    other = flagged.where("unsure").join(odd, same, "left_anti").select(columns)
+    once = flagged.where("unsure").join(odd.where("stays and times = 1"), same, "left_semi").select(columns)
+    repeated = flagged.where("unsure").join(odd.where("stays and times > 1"), same, "left_semi").dropDuplicates(["doc_id", "text_key"]).select(columns)
+    return clear.unionAll(other).unionAll(once).unionAll(repeated).toDF(*docs.columns)
