@@ -78,3 +78,15 @@ def test_overlapping_values_leave_the_text_around_them(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert S.scan_secrets(df).count() == 0 and S.redact(df).count() == 0
+
+
+def test_redact_keeps_clashing_columns_and_long_texts(spark):
+    names = ["__key", "__live", "__id", "__key0", "key", "live", "c0", "text_key", "unsure", "byte", "bucket"]
+    long = "plain words " * 100_000
+    rows = [(1, f"token={KEY}0a1b2c3d"), (1, f"token={KEY}0a1b2c3d"), (2, long + f"api_key={KEY}ffee end"), (3, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' source", *[f"'{x}' `{x}`" for x in names])
+    out = S.redact(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted((r.text for r in got), key=repr) == sorted(["token=[SECRET]", "token=[SECRET]", long + "api_key=[SECRET] end", "", None], key=repr)
+    assert all([r[x] for x in names] == names for r in got)

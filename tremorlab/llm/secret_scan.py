@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlab.llm.common import map_lists, materialize, typed
+from tremorlab.llm.common import flag_by_bitmap, map_lists, materialize, typed
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -136,14 +136,19 @@ def merged(spans: F.Column) -> F.Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """The input with every live-looking value replaced by a fixed mark, overlapping ones by one mark; all rows, columns and other text stay."""
-    found = scan_secrets(docs, id_col, text_col, owner_col).where("n_live > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("live").alias("__live"))
-    found = materialize(found, "live").dropDuplicates(["__id", "__key"])
-    keyed = docs.withColumn("__key0", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    both = keyed.join(found, keyed[id_col].eqNullSafe(found["__id"]) & (F.col("__key0") == F.col("__key")), "left")
+    of, text = docs.columns.index(id_col), docs.columns.index(text_col)
+    found = scan_secrets(docs, id_col, text_col, owner_col).where("n_live > 0").select("doc_id", "text_key", "live")
+    found = materialize(found, "live").dropDuplicates(["doc_id", "text_key"])
+    # columns go by number inside, so that no name of the input can clash
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows = flag_by_bitmap(rows.withColumn("key", F.xxhash64(F.coalesce(f"c{text}", F.lit("")))), found.select(F.col("text_key").alias("key")), "key", "unsure")
+    both = rows.where("unsure").join(found, F.col(f"c{of}").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
     # from the last span to the first, so that earlier positions stay valid
     t = F.aggregate(
-        F.reverse(merged(F.col("__live"))),
-        F.col(text_col),
+        F.reverse(merged(F.col("live"))),
+        F.col(f"c{text}"),
         lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), F.lit(REDACTED), F.substring(acc, s["end"] + 1, F.length(acc))),
     )
-    return both.withColumn(text_col, F.when(F.col("__live").isNotNull(), t).otherwise(F.col(text_col))).select(*docs.columns)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    done = both.withColumn(f"c{text}", F.when(F.col("live").isNotNull(), t).otherwise(F.col(f"c{text}"))).select(columns)
+    return rows.where("not unsure").select(columns).unionAll(done).toDF(*docs.columns)
