@@ -65,3 +65,15 @@ def test_pipeline_stage_rejects_what_is_in_no_language(spark):
     assert {r.doc_id for r in corpus_pipeline.language_stage(spark, df, "").collect()} == {i for i, _, _ in clean}
     unlabelled = df.withColumn("lang", df.lang.substr(1, 0)).selectExpr("doc_id", "text", "nullif(lang, '') lang")
     assert corpus_pipeline.language_stage(spark, unlabelled, "").count() == len(clean) + len(junk)
+
+
+def test_chunks_change_no_count(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(30):
+        text = "".join(rng.choice("ab é  ..9ß") for _ in range(rng.randint(0, 200)))
+        whole = L.ngram_counts(text)
+        for size in (1, 2, 3, 7, 50):
+            monkeypatch.setattr(L, "CHUNK", size)
+            got = L.ngram_counts(text)
+            assert np.array_equal(whole[0], got[0]) and np.array_equal(whole[1], got[1])
+        monkeypatch.undo()

@@ -47,19 +47,24 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features and how often each occurs in the whole text."""
     total = np.zeros(1 << BITS, dtype=np.int64)
     low = " " + text.lower() + " "
+    held, after_gap = np.zeros(0, dtype=np.uint64), False  # the last two codes that were kept, and whether a gap came last
     for at in range(0, len(low), CHUNK):
-        part = low[max(0, at - 2) : at + CHUNK]
-        codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        codes = np.frombuffer(low[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         letter = np.ones(len(codes), dtype=bool)
         ascii_ = codes < 128
         letter[ascii_] = _LETTER[codes[ascii_].astype(np.int64)]
-        codes = np.where(letter, codes, np.uint64(32))
-        codes = codes[np.concatenate([[True], letter[1:] | letter[:-1]])]
+        kept = np.where(letter, codes, np.uint64(32))[letter | np.concatenate([[not after_gap], letter[:-1]])]
+        after_gap = not letter[-1]
+        if not len(kept):
+            continue
+        old, codes = len(held), np.concatenate([held, kept])
         a, b, c = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
         shift = np.uint64(64 - BITS)
         one = codes * a
-        for h in (one[2 if at else 0 :], one[(1 if at else 0) : -1] * c + codes[1 + (1 if at else 0) :] * b, (one[:-2] * c + codes[1:-1] * b) * c + codes[2:] * a):
+        # of every length, the n-grams that end in a code of this chunk
+        for h in (one[old:], (one[:-1] * c + codes[1:] * b)[max(old - 1, 0) :], (one[:-2] * c + codes[1:-1] * b) * c + codes[2:] * a):
             total += np.bincount(((h * b) >> shift).astype(np.int64), minlength=1 << BITS)
+        held = codes[-2:]
     idx = np.flatnonzero(total)
     return idx.astype(np.int32), total[idx]
 
