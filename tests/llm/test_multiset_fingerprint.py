@@ -39,6 +39,13 @@ def test_likeness_survives_a_word_inserted_or_deleted():
         assert of(text).likeness(of(longer)) > least and of(text).likeness(of(shorter)) > least
 
 
+def test_long_repetitive_texts_do_not_wrap():
+    for times in (20_000, 40_000, 120_000):
+        text = "a b c d " * times
+        new, h = M.edited_hash(of(text), text, "other words " * times)
+        assert 0.6 < of(text).likeness(h) < 0.98, times
+
+
 def test_query_equals_a_walk_in_order(spark):
     rng = random.Random(9)
     rows = [(rng.randrange(10**6) * 2 + 2**60, "".join(rng.choice("ab \né") for _ in range(rng.choice([0, 1, 2, 5, 300])))) for _ in range(300)]

@@ -3,7 +3,7 @@
 A fingerprint is a wide vector, the sum over paragraphs of vectors hashed from them, each lane modulo
 a power of two. Sums do not depend on order, and adding or subtracting a paragraph's vector inserts
 or deletes it. The vector has two ranges: 4 lanes modulo 2**64 hashed from the whole paragraph, which
-tell unequal multisets apart, and 256 lanes modulo 2**16 in which every run of four words of the paragraph,
+tell unequal multisets apart, and 256 lanes modulo 2**32 in which every run of four words of the paragraph,
 each starting a word after the last, adds +1 or -1, as does a shorter paragraph as a whole; the inner product of two such ranges estimates how many runs two
 documents share, which gives a likeness.
 """
@@ -36,7 +36,7 @@ class MultisetHash:
 
     def __init__(self) -> None:
         self.exact = np.zeros(EXACT_LANES, dtype=np.uint64)
-        self.like = np.zeros(LIKE_LANES, dtype=np.uint16)
+        self.like = np.zeros(LIKE_LANES, dtype=np.uint32)
 
     def copy(self) -> MultisetHash:
         out = MultisetHash()
@@ -55,13 +55,13 @@ class MultisetHash:
         return self
 
     def hexdigest(self) -> str:
-        return self.exact.astype("<u8").tobytes().hex() + self.like.astype("<u2").tobytes().hex()
+        return self.exact.astype("<u8").tobytes().hex() + self.like.astype("<u4").tobytes().hex()
 
     def likeness(self, other: MultisetHash) -> float:
         """Estimated share of common runs: 2<a,b> / (<a,a> + <b,b>), within 0 and 1; equal fingerprints give 1."""
         if np.array_equal(self.exact, other.exact) and np.array_equal(self.like, other.like):
             return 1.0
-        a, b = self.like.view(np.int16).astype(np.float64), other.like.view(np.int16).astype(np.float64)
+        a, b = self.like.view(np.int32).astype(np.float64), other.like.view(np.int32).astype(np.float64)
         size = a @ a + b @ b
         return float(min(1.0, max(0.0, 2.0 * (a @ b) / size))) if size else 0.0
 
@@ -74,7 +74,7 @@ def paragraphs(text: str) -> list[str]:
 def paragraph_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the paragraph vectors of a text."""
     parts = paragraphs(text)
-    exact, like = np.zeros(EXACT_LANES, dtype=np.uint64), np.zeros(LIKE_LANES, dtype=np.uint16)
+    exact, like = np.zeros(EXACT_LANES, dtype=np.uint64), np.zeros(LIKE_LANES, dtype=np.uint32)
     if not parts:
         return exact, like
     whole = np.frombuffer(b"".join(hashlib.blake2b(p.encode(), digest_size=8 * EXACT_LANES).digest() for p in parts), dtype="<u8")
@@ -86,8 +86,8 @@ def paragraph_sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, len(runs), 4096):
         part = runs[at : at + 4096]
         bits = np.unpackbits(np.frombuffer(b"".join([x128(r, seed) for r in part for seed in range(LIKE_LANES // 128)]), dtype=np.uint8).reshape(len(part), -1), axis=1)
-        ones = bits.sum(axis=0, dtype=np.uint16)
-        like += ones + ones - np.uint16(len(part))
+        ones = bits.sum(axis=0, dtype=np.uint32)
+        like += ones + ones - np.uint32(len(part))
     return exact, like
 
 
