@@ -106,6 +106,30 @@ def test_pack_covers_every_id_without_padding(spark):
         assert at == K.WINDOW or at & (at - 1) == 0
 
 
+def test_end_of_a_task_keeps_placements():
+    """Of the windows open at the end, only the emptiest are cut, and no id is lost or padded."""
+    rng = random.Random(11)
+    packer, out, lengths = K.SumOfSquaresPacker(window=4096), [], []
+    for i in range(1500):
+        lengths.append(min(4000, int(rng.expovariate(1 / 500)) + 1))
+        out += packer.add(i, b"\1\0\0\0" * lengths[-1])
+    filling = sum(len(w) for ws in packer.open.values() for w in ws)
+    out += packer.finish()
+    pieces, seqs = {}, {}
+    for doc, start, n, _, _, seq, at in out:
+        pieces.setdefault(doc, []).append((start, n))
+        seqs.setdefault(seq, []).append((at, n))
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, k in sorted(pieces[i]):
+            assert start == at
+            at += k
+        assert at == n
+    sizes = [sum(n for _, n in s) for s in seqs.values()]
+    assert all(x == 4096 or x & (x - 1) == 0 for x in sizes) and sum(x < 4096 for x in sizes) <= 12
+    assert sum(len(p) > 1 for p in pieces.values()) < 0.5 * filling
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert K.pack(df, WORDS).count() == 0 and B.bpe_digests(df, RANKS, P.PATTERN).count() == 0

@@ -3,8 +3,8 @@
 A document longer than a window first fills whole windows; its remainder is placed into the window,
 among those partly filled or a new one, that minimises the sum over fill levels of the squared
 number of windows at that level. A level array holds these counts, so a placement is one vector
-operation over it. What is still open at the end of a partition is cut and joined into whole
-windows, and the last ids into sequences whose lengths are powers of two, which need no padding.
+operation over it. Of the windows still open at the end of a partition, the fullest are filled up with ids of the
+emptiest, and the last ids make sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -156,23 +156,48 @@ class SumOfSquaresPacker:
         return out
 
     def finish(self) -> list[tuple]:
-        """Join the open windows, fullest first, into whole ones and a remainder of powers of two."""
-        pieces = [p for level in sorted(self.open, reverse=True) for window in self.open[level] for p in window]
-        left = sum(len(p[2]) // 4 for p in pieces)
+        """Settle the open windows: the fullest stay as placed and are filled up with ids of the emptiest, whose documents alone are cut.
+
+        What no longer fills a window becomes sequences whose lengths are powers of two, which need no padding.
+        """
+        windows = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
         self.count[:], self.open, self.n_open = 0, {}, 0
-        out, now, room = [], [], 0
-        for doc, start, ids, total in pieces:
-            while ids:
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                n = min(room, len(ids) // 4)
-                now.append((doc, start, ids[: 4 * n], total))
-                start, ids, room, left = start + n, ids[4 * n :], room - n, left - n
-                if not room:
-                    out += self._settle(now)
-                    now = []
+        out, rest, first, last = [], [], 0, len(windows) - 1
+        while first <= last or rest:
+            pieces = []
+            if first <= last:
+                pieces = windows[first]
+                first += 1
+            room = self.window - sum(len(p[2]) // 4 for p in pieces)
+            while room and (rest or first <= last):
+                if not rest:
+                    rest = windows[last][::-1]
+                    last -= 1
+                head, tail = self._cut(rest.pop(), room)
+                pieces.append(head)
+                room -= len(head[2]) // 4
+                rest += tail
+            while pieces:
+                n = sum(len(p[2]) // 4 for p in pieces)
+                size = self.window if n >= self.window else 1 << (n.bit_length() - 1)
+                sequence, pieces = [], pieces[::-1]
+                while size:
+                    head, tail = self._cut(pieces.pop(), size)
+                    sequence.append(head)
+                    size -= len(head[2]) // 4
+                    pieces += tail
+                pieces = pieces[::-1]
+                out += self._settle(sequence)
         return out
 
+    @staticmethod
+    def _cut(piece: tuple, n: int) -> tuple[tuple, list[tuple]]:
+        """The first ``n`` ids of a piece, or all, and what is left of it."""
+        doc, start, ids, total = piece
+        if len(ids) <= 4 * n:
+            return piece, []
+        return (doc, start, ids[: 4 * n], total), [(doc, start + n, ids[4 * n :], total)]
+
 
 _loaded: dict[str, WordTokenizer] = {}
 
