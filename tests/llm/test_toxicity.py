@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -36,6 +37,25 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert by[None].predicted == 1 and by[None].held_out is None and by[900].predicted == by[901].predicted == 0
 
 
+def test_lexicon_is_learned_from_the_training_fold_alone(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    docs, labels = [], []
+    for i in range(900):
+        toxic = rng.random() < 0.2
+        words = [word() for _ in range(rng.randint(20, 60))] + (["qqzz" + word() for _ in range(rng.randint(3, 6))] if toxic else [])
+        words += ["heldoutonly"] if toxic and zlib.crc32(str(i).encode()) % 3 == 1 else []
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = X.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "qqzz*" in model.learned and not any(x.startswith("heldout") for x in model.learned)
+    got = [r for r in X.score_toxicity(d, model).collect() if r.held_out]
+    hits = sum(r.predicted for r in got if dict(labels)[r.doc_id])
+    assert hits >= 0.95 * sum(dict(labels)[r.doc_id] for r in got) and sum(r.predicted for r in got) <= 1.05 * hits
+
+
 def test_features_see_obfuscation_and_second_person():
     f = dict(zip(X.FEATURES, X.features("YOU are an id1ot, you idiot! s t u p i d")))
     assert f["obfuscated_words"] > 0 and f["near_second_person"] > 0 and f["spaced_rate"] > 0 and f["capital_words"] > 0

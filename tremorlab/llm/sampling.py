@@ -23,6 +23,6 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, folds: int,
 
 
 def texts_of(sample: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, label, text) of a sample; its bounded ids are broadcast, so the documents are not shuffled."""
+    """(doc_id, label, text) of a sample; its bounded ids are broadcast, so the documents are not shuffled. Of several texts of an id the least counts, a null only where it has no other."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return d.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    return d.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))

@@ -1,7 +1,9 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Features are densities of fixed word lists, how near such words stand to the second person,
-capitals, punctuation, and rates of obfuscated spelling. Trees are grown on a bounded labelled
+Features are densities of fixed word lists and of a learned one, how near such words stand to the second person,
+capitals, punctuation, and rates of obfuscated spelling. The learned lexicon holds words and word beginnings that far more toxic than clean
+documents of the training fold have, so that abuse in languages without a fixed list is seen as well; a training
+document's features use a lexicon learned from the other parts of the sample. Trees are grown on a bounded labelled
 sample by Newton boosting on binned features; out-of-fold margins are calibrated by pooling
 adjacent violators.
 """
@@ -19,13 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremorlab.llm.common import fold_of, map_lists, typed
+from tremorlab.llm.common import Scratch, fold_of, map_lists, typed
 from tremorlab.llm.sampling import labelled_sample, texts_of
 
 FOLDS, HELD_OUT = 3, 1
 #: Labelled documents of each class in the sample, at most.
 ROWS_PER_CLASS = 2000
 DECISION = 0.7
+#: Parts of the sample, each scored by what the others teach.
+PARTS = 4
+#: A learned entry's share of toxic documents is at least so many times that of clean ones; its toxic documents are so many standard
+#: deviations more than chance would give, which takes 7 where a tenth of the documents are toxic; and it is among so many entries at most.
+LEAST_RATIO, LEAST_DEVIATIONS, MOST_ENTRIES = 5.0, 7.0, 3000
+#: Lengths of the word beginnings that may be learned.
+BEGINNINGS = (4, 5, 6, 7)
 TREES, DEPTH, RATE, BINS, LEAF_WEIGHT, RIDGE = 60, 3, 0.2, 32, 5.0, 1.0
 
 # Fixed word lists: general insults and slurs-free abuse, by language and strength.
@@ -43,10 +52,15 @@ _MIXED = re.compile(r"[^\W\d_][\d@$!*_.-]+[^\W\d_]")
 _SPACED = re.compile(r"\b(?:[^\W\d_] ){3,}[^\W\d_]\b")
 NEAR = 6
 
-FEATURES = ("insults", "contempt", "threats", "other_languages", "any_word", "distinct_words", "obfuscated_words", "mixed_rate", "spaced_rate", "second_person", "near_second_person", "capitals", "capital_words", "exclaims", "questions", "symbols", "length")
+FEATURES = ("insults", "contempt", "threats", "other_languages", "any_word", "distinct_words", "obfuscated_words", "mixed_rate", "spaced_rate", "second_person", "near_second_person", "capitals", "capital_words", "exclaims", "questions", "symbols", "length", "learned", "learned_share", "learned_distinct")
 
 
-def features(text: str | None) -> list[float]:
+def entries(word: str) -> list[str]:
+    """What a lower-case word may be learned by: itself and its beginnings, marked by a star."""
+    return [word, *[word[:k] + "*" for k in BEGINNINGS if len(word) > k]]
+
+
+def features(text: str | None, learned: frozenset[str] = frozenset()) -> list[float]:
     """Dense features of a whole text; all zero for one without a word."""
     t = text or ""
     tokens = t.split()
@@ -66,6 +80,8 @@ def features(text: str | None) -> list[float]:
             hidden += k * (token.lower().strip("!?.,;:\"'()").translate(LEET) in LEXICON)
         a, u = sum(map(str.isalpha, token)), sum(map(str.isupper, token))
         letters, upper, shout = letters + a * k, upper + u * k, shout + k * (a > 1 and u == a)
+    by_lexicon = {w for w in words if any(e in learned for e in entries(w))} if learned else set()
+    n_learned = sum(words[w] for w in by_lexicon)
     count = lambda lexicon: sum(words[w] for w in words.keys() & lexicon)
     hits = count(LEXICON)
     near = 0
@@ -94,8 +110,11 @@ def features(text: str | None) -> list[float]:
         shout / m,
         squash(t.count("!") / m, 0.1),
         squash(t.count("?") / m, 0.1),
-        sum(not (c.isalnum() or c.isspace()) for c in t) / n if n < 4096 else sum(k * sum(not c.isalnum() for c in w) for w, k in raw.items()) / n,
+        sum(k * sum(not c.isalnum() for c in w) for w, k in raw.items()) / n,
         min(math.log1p(m) / 10, 1.5),
+        squash(n_learned, 2),
+        squash(n_learned * per, 5),
+        squash(len(by_lexicon), 2),
     ]
 
 
@@ -181,40 +200,96 @@ class ToxicityModel:
     trees: Boosted
     starts: np.ndarray
     means: np.ndarray
+    learned: frozenset[str] = frozenset()
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.starts, self.trees.margin(x), side="right") - 1
         return np.clip(self.means[np.maximum(at, 0)], 0.0, 1.0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, counts: dict[int, int]) -> ToxicityModel:
-    """A model from features and labels, weighted to the classes' whole counts; constant where a class is missing."""
+def fit(x: np.ndarray, y: np.ndarray, counts: dict[int, int], part: np.ndarray) -> ToxicityModel:
+    """A model from features, labels and parts, weighted to the classes' whole counts; constant where a class is missing."""
     if not len(x) or len(set(y.tolist())) < 2:
         only = float(y[0]) if len(y) else 0.0
         return ToxicityModel(Boosted(0.0), np.array([0.0]), np.array([only]))
     n = np.bincount(y, minlength=2)
     weight = np.where(y == 1, counts.get(1, n[1]) / n[1], counts.get(0, n[0]) / n[0]).astype(float)
     weight *= len(y) / weight.sum()
-    part = np.arange(len(y)) % 4
     margin = np.zeros(len(y))
-    for k in range(4):
+    for k in range(PARTS):
         if len(set(y[part != k].tolist())) == 2:
             margin[part == k] = boost(x[part != k], y[part != k], weight[part != k]).margin(x[part == k])
     starts, means = isotonic(margin, y.astype(float), weight)
     return ToxicityModel(boost(x, y, weight), starts, means)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
-    """Fit on a bounded sample outside the held-out fold; only its features reach the driver."""
-    sample, counts = labelled_sample(labels, label_col, id_col, FOLDS, HELD_OUT, rows_per_class)
+def learn_lexica(rows: DataFrame) -> list[frozenset[str]]:
+    """Lexica of (label, part, text): one from all parts but each, then one from all.
+
+    Documents that hold an entry are counted by part and label; the driver gets at most MOST_ENTRIES entries.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {"doc_id": b["doc_id"], "label": b["label"], "x": [features(t) for t in b["text"]]}
+            n: Counter = Counter()
+            for label, part, text in zip(b["label"], b["part"], b["text"]):
+                words = {w.lower() for w in _WORD.findall(text or "")}
+                n.update((e, part, label) for e in {e for w in words for e in entries(w)})
+            if n:
+                entry, part, label = zip(*n)
+                yield {"entry": entry, "part": part, "label": label, "n": list(n.values())}
+
+    schema = T.StructType([T.StructField("entry", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType())])
+    of = [(k, c) for k in range(PARTS) for c in (0, 1)]
+    size = {(r["part"], r["label"]): r["count"] for r in rows.groupBy("part", "label").count().collect()}
+    sums = [F.sum(F.when((F.col("part") == k) & (F.col("label") == c), F.col("n")).otherwise(0)).alias(f"n{k}{c}") for k, c in of]
+    toxic, clean = (sum(F.col(f"n{k}{c}") for k in range(PARTS)) for c in (1, 0))
+    docs = [sum(size.get((k, c), 0) for k in range(PARTS)) for c in (0, 1)]
+
+    def strength(a, b, total):
+        """Ratio of shares, and the square of the standard deviations above chance, of counts in toxic and clean documents."""
+        rate = (total[1] + 1) / (total[0] + total[1] + 2)
+        return (a + 0.5) / (total[1] + 1) * (total[0] + 1) / (b + 0.5), (a - (a + b) * rate) * (a - (a + b) * rate) / ((a + b) * rate * (1 - rate))
+
+    ratio, squared = strength(toxic, clean, docs)
+    found = map_lists(rows.select("label", "part", "text"), run, schema).groupBy("entry").agg(*sums).where(toxic > 0).where((ratio >= LEAST_RATIO) & (squared >= LEAST_DEVIATIONS**2))
+    best = found.orderBy((toxic * F.log(ratio)).desc(), "entry").limit(MOST_ENTRIES).collect()
+
+    def without(part: int | None) -> frozenset[str]:
+        kept = [k for k in range(PARTS) if k != part]
+        total = [sum(size.get((k, c), 0) for k in kept) for c in (0, 1)]
+        out = set()
+        for r in best:
+            a, b = (sum(r[f"n{k}{c}"] for k in kept) for c in (1, 0))
+            if a:
+                ratio, squared = strength(a, b, total)
+                if ratio >= LEAST_RATIO and squared >= LEAST_DEVIATIONS**2:
+                    out.add(r["entry"])
+        return frozenset(out)
+
+    return [without(k) for k in [*range(PARTS), None]]
+
 
-    rows = map_lists(texts_of(sample, docs, id_col, text_col), run, typed(docs, id_col, label=T.IntegerType(), x=T.ArrayType(T.DoubleType()))).collect()
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_class: int = ROWS_PER_CLASS) -> ToxicityModel:
+    """Fit on a bounded sample outside the held-out fold; only its features and the lexicon reach the driver."""
+    sample, counts = labelled_sample(labels, label_col, id_col, FOLDS, HELD_OUT, rows_per_class)
+    # equal texts fall into one part, or a part would teach its own copies
+    part = F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")
+    with Scratch(docs.sparkSession) as scratch:
+        texts = scratch.table(texts_of(sample, docs, id_col, text_col).withColumn("part", part), "toxicity-sample")
+        lexica = learn_lexica(texts)
+        sent = docs.sparkSession.sparkContext.broadcast(lexica)
+
+        def run(batches: Iterator[dict]) -> Iterator[dict]:
+            for b in batches:
+                yield {"doc_id": b["doc_id"], "label": b["label"], "part": b["part"], "x": [features(t, sent.value[k]) for t, k in zip(b["text"], b["part"])]}
+
+        rows = map_lists(texts, run, typed(docs, id_col, label=T.IntegerType(), part=T.IntegerType(), x=T.ArrayType(T.DoubleType()))).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows], dtype=int), counts)
+    x, y, part_of = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows], dtype=int), np.array([r["part"] for r in rows], dtype=int)
+    model = fit(x, y, counts, part_of)
+    model.learned = lexica[-1]
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +302,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            p = sent.value.scores(np.array([features(t) for t in b["text"]]).reshape(-1, len(FEATURES)))
+            p = sent.value.scores(np.array([features(t, sent.value.learned) for t in b["text"]]).reshape(-1, len(FEATURES)))
             yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "score": p, "predicted": (p >= DECISION).astype(np.int32)}
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", fold_of("doc_id", FOLDS) == HELD_OUT)
