@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlab.llm import language_id
-from tremorlab.llm.common import materialize
+from tremorlab.llm.common import Scratch, materialize
 from tremorlab.llm.line_dedup import dedup_lines
 from tremorlab.llm.packing import pack
 from tremorlab.llm.secret_scan import redact
-from tremorlab.llm.simhash_vptree import simhash_components
+from tremorlab.llm.simhash_vptree import drop_near_duplicates
 from tremorlab.session import reachable
 
 
@@ -34,16 +34,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of the smallest id stays.
+    """Of each SimHash component the document of the smallest id stays; without an id, the one of the smallest hash of its text.
 
-    Rows that share an id are one document, of which one row stays; so are rows without an id, which stay
-    only where a component has no other.
+    Rows that share id and text are one document, of which one row stays. Different texts under one id, or
+    under none, are documents of their own and stay unless their component has another.
     """
-    keep = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    keep = materialize(keep, "keep-ids")
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__rn", F.row_number().over(one)).where("__rn = 1").drop("__rn")
+    return drop_near_duplicates(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; a stage's input goes once its output is written."""
     docs = reachable(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            out = scratch.table(stage(spark, docs, sf_dir), name)
+            scratch.drop(*[docs] if docs is not None and hasattr(docs, "_tremor_path") else [])
+            docs = out
+        return materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
