@@ -1,14 +1,17 @@
 import datetime as dt
+import json
 import math
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tremorlab.functions import scalar
-from tremorlab.operators import calibrate, govern, ledger, metrics, online, quality, resample, simulate, study, vol, volfit
+from tremorlab.operators import calibrate, govern, ledger, metrics, online, predict, quality, resample, simulate, study, vol, volfit
 from tremorlab.operators import features as X
 from tremorlab.operators import lookup as J
+from tremorlab.operators.quantile import quantiles
 from tremorlab.operators.walkforward import WalkConfig, walk_forward
 from tremorlab.sources import panel as P
 from tremorlab.sources import store
@@ -78,7 +81,7 @@ def test_quality_checks(spark):
     prices = [100.0] * 6 + [101.0, 50.5, 51.0]
     f = spark.createDataFrame([("a", dt.date(2020, 1, 1) + dt.timedelta(i if i < 8 else 60), p, None, None, None) for i, p in enumerate(prices)], "ticker string, dt date, price double, open double, high double, low double")
     f = P.numbered(f)
-    assert [(r.start_idx, r.last_idx) for r in quality.stale_runs(f, 5).collect()] == [(0, 5)]
+    assert [(r.start_idx, r.last_idx) for r in quality.stale_runs(f, 5).collect()] == [(0, 6)]
     assert [r.idx for r in quality.split_like(X.with_returns(f)).collect()] == [7]
     assert [r.idx for r in quality.date_gaps(f, 5).collect()] == [8]
     with pytest.raises(ValueError):
@@ -160,6 +163,61 @@ def test_walk_has_no_lookahead(spark, panel):
         WalkConfig.of({"paths": 1, "unknown": 2})
 
 
+def test_daily_volatility_follows_the_last_fit(spark, panel):
+    """Stretches of a series give the fits and recursions of the series as a whole."""
+    r = X.with_returns(panel).select("ticker", "idx", "ret")
+    whole = {(x.ticker, x.idx): x for x in volfit.garch_series(r, 50, daily=True, chunk=100_000).collect()}
+    parts = {(x.ticker, x.idx): x for x in volfit.garch_series(r, 50, daily=True, chunk=90).collect()}
+    assert whole.keys() == parts.keys() and all(np.isclose(whole[k].sigma_1d, parts[k].sigma_1d, rtol=1e-9) for k in whole)
+    ret = {(x.ticker, x.idx): x.ret for x in r.collect()}
+    for (t, i), x in whole.items():
+        if x.source == "garch" and i % 50 and (t, i - 1) in whole:
+            h = x.omega + (x.alpha + x.gamma * (ret[t, i] < 0)) * ret[t, i] ** 2 + x.beta * whole[t, i - 1].sigma_1d ** 2
+            assert np.isclose(x.sigma_1d, min(1.0, math.sqrt(h)))
+
+
+def test_prediction_from_states_equals_the_walk(spark, panel):
+    f = X.vol_state(X.with_returns(panel))
+    f = X.label_moves(X.forward_returns(f), spark.createDataFrame([(5, 0.02), (10, 0.03)], "horizon int, tau double"))
+    f = f.where("idx >= 252").withColumn("p", F.lit(0.05) + F.pmod(F.col("idx"), F.lit(7)) / 20.0)
+    walked = online.calibrate(f).collect()
+    last = {(r.ticker, r.horizon): max((x for x in walked if (x.ticker, x.horizon) == (r.ticker, r.horizon)), key=lambda x: x.idx) for r in walked}
+    states = online.train_states(f).collect()
+    feats = {(r.ticker, r.idx): [r[c] for c in online.FEATURES] for r in f.collect()}
+    assert len(states) == len(last) > 0
+    for r in states:
+        x = last[r.ticker, r.horizon]
+        assert abs(online.emit(json.loads(r.state), x.p, feats[r.ticker, x.idx]) - x.p_cal) < 1e-12
+    tau = spark.createDataFrame([(5, 0.02), (10, 0.03)], "horizon int, tau double")
+    got = predict.predict_latest(panel, spark.createDataFrame(states), tau, paths=500).collect()
+    assert {(r.ticker, r.horizon) for r in got} == set(last)
+    assert all(0 <= r.p_raw <= 1 and 0 <= r.p_cal <= 1 and r.sigma_1d > 0 and r.n_updates > 0 for r in got)
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", float(x)) for x in rng.normal(size=30_000)] + [("b", float(x)) for x in rng.integers(0, 5, 20_000)] + [("c", 7.0), ("d", None), ("e", 1.0), ("e", 2.0)]
+    f = spark.createDataFrame(rows, "k string, x double")
+    qs = [0.0, 0.01, 0.33, 0.5, 0.97, 1.0]
+    got = {r.k: r.q for r in quantiles(f, ["k"], "x", qs).collect()}
+    for k in "abce":
+        assert np.allclose(got[k], np.quantile([x for g, x in rows if g == k], qs), atol=1e-12)
+    assert got["d"] is None
+    assert np.allclose(quantiles(f, [], "x", [0.8]).first().q, np.quantile([x for _, x in rows if x is not None], 0.8))
+
+
+def test_ewma_equals_the_recursion(spark):
+    rng = np.random.default_rng(5)
+    ret = [None, *rng.normal(0, 0.02, 1500).tolist()]
+    f = spark.createDataFrame([("a", i, dt.date(2000, 1, 1) + dt.timedelta(i), x) for i, x in enumerate(ret)], "ticker string, idx int, dt date, ret double")
+    got = {r.idx: r.ewma for r in X.ewma_vol(f).collect()}
+    s = w = 0.0
+    assert got[0] is None
+    for i, x in enumerate(ret[1:], 1):
+        s, w = s * (1 - 2 / 21) + x * x, w * (1 - 2 / 21) + 1
+        assert abs(got[i] - math.sqrt(s / w)) < 1e-12
+
+
 def test_platt_fold_equals_numpy(spark):
     f, p, y = pair_table(spark, 400)
     a, b = 1.0, 0.0

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorlab.operators.quantile import quantiles
+
 HORIZONS = (5, 10)
 
 
@@ -44,7 +46,7 @@ def forward_returns(panel: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> D
 
 def adaptive_thresholds(labels: DataFrame, q: float = 0.8) -> DataFrame:
     """tau per horizon: the exact q-quantile of |ret_h|."""
-    return labels.groupBy("horizon").agg(F.percentile(F.abs("ret_h"), F.lit(q)).alias("tau"))
+    return quantiles(labels.withColumn("_size", F.abs("ret_h")), ["horizon"], "_size", [q]).select("horizon", F.col("q")[0].alias("tau"))
 
 
 def label_moves(labels: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -125,16 +127,23 @@ def rolling_mean(frame: DataFrame, value: Column, n: int, name: str) -> DataFram
 
 
 def ewma_vol(frame: DataFrame, span: int = 20) -> DataFrame:
-    """Root of the exponentially weighted mean square return with adjusted weights.
+    """Root of the exponentially weighted mean square return with adjusted weights, over the whole past.
 
-    The weights (1-a)^(n-i) fall off fast, so the sum over the last ``6 * span`` rows is taken as a fold;
-    what lies further back weighs less than 1e-5 of the whole.
+    Series are cut into stretches of ``10 * span`` rows, within which a running sum of scaled squares gives the
+    average; the last values of the four stretches before are carried in, and what lies further back is below a double's last digit.
     """
-    keep = 1 - 2 / (span + 1)
-    past = F.collect_list("ret").over(last(6 * span))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    fold = F.aggregate(past, zero, lambda a, r: F.struct((a["s"] * keep + r * r).alias("s"), (a["w"] * keep + 1).alias("w")), lambda a: F.sqrt(F.greatest(a["s"] / a["w"], F.lit(1e-16))))
-    return frame.withColumn("ewma", F.when(F.size(past) > 0, fold))
+    keep, size = 1 - 2 / (span + 1), 10 * span
+    at = F.col("idx") % size
+    scale = F.pow(F.lit(keep), -at)
+    f = frame.withColumn("_b", F.floor(F.col("idx") / size)).withColumn("_s", F.col("ret") * F.col("ret") * scale).withColumn("_w", F.when(F.col("ret").isNotNull(), scale))
+    ends = f.groupBy("ticker", "_b").agg(*[(F.coalesce(F.sum(c), F.lit(0.0)) * keep ** (size - 1)).alias(f"_e{c}") for c in ("_s", "_w")])
+    w = Window.partitionBy("ticker").orderBy("_b")
+    carried = lambda c: sum((F.coalesce(F.lag(f"_e{c}", m).over(w), F.lit(0.0)) * keep ** (size * (m - 1)) for m in range(1, 5)), F.lit(0.0))
+    before = ends.select("ticker", "_b", carried("_s").alias("_c_s"), carried("_w").alias("_c_w"))
+    run = Window.partitionBy("ticker", "_b").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.pow(F.lit(keep), at) * (F.coalesce(F.sum(c).over(run), F.lit(0.0)) + keep * F.col(f"_c{c}"))
+    out = f.join(before, ["ticker", "_b"]).withColumn("_ts", total("_s")).withColumn("_tw", total("_w"))
+    return out.withColumn("ewma", F.when(F.col("_tw") > 0, F.sqrt(F.greatest(F.col("_ts") / F.col("_tw"), F.lit(1e-16))))).drop("_b", "_s", "_w", "_c_s", "_c_w", "_ts", "_tw")
 
 
 def har_features(frame: DataFrame, value: Column | None = None) -> DataFrame:

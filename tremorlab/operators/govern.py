@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlab.operators import metrics as M
+from tremorlab.operators.quantile import quantiles
 
 GATES = {"bss": (0.0, ">="), "auc": (0.55, ">="), "ece": (0.02, "<=")}
 
@@ -62,10 +63,11 @@ def fold_summary(oof: DataFrame) -> DataFrame:
 
 
 def by_regime(frame: DataFrame, keys: list[str], sigma: str = "vol_20") -> DataFrame:
-    """Every row twice: under slice ``all`` and under its volatility third, by the 33rd and 66th percentile, strictly."""
-    cuts = frame.where(F.col(sigma).isNotNull()).groupBy(*keys).agg(F.percentile(sigma, F.array(F.lit(0.33), F.lit(0.66))).alias("_c"))
+    """Every row under slice ``all`` and, if its volatility is known, under its third, by the 33rd and 66th percentile, strictly."""
+    cuts = quantiles(frame, keys, sigma, [0.33, 0.66], "_c")
     third = F.when(F.col(sigma) < F.col("_c")[0], "low").when(F.col(sigma) > F.col("_c")[1], "high").otherwise("mid")
-    f = frame.join(cuts, keys, "left").withColumn("slice", F.explode(F.array(F.lit("all"), F.coalesce(third, F.lit("mid")))))
+    slices = F.when(F.col(sigma).isNull(), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), third))
+    f = frame.join(cuts, keys, "left").withColumn("slice", F.explode(slices))
     return f.drop("_c")
 
 

@@ -68,16 +68,20 @@ def event_count(frame: DataFrame, events: DataFrame, horizon: int) -> DataFrame:
     """
     w = Window.partitionBy("ticker").orderBy("dt")
     end = F.coalesce(F.lead("dt", horizon).over(w), F.max("dt").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    f = frame.withColumn("_end", end)
+    total = running_count(events)
+    f = as_of(frame.withColumn("_d", F.col("dt")).withColumn("dt", end), total, name="_hi").withColumn("dt", F.date_sub("_d", 1))
+    f = as_of(f, total, name="_lo").withColumn("dt", F.col("_d"))
+    n = F.coalesce(F.col("_hi")["seen"], F.lit(0)) - F.coalesce(F.col("_lo")["seen"], F.lit(0))
+    return f.withColumn("n_events", n.cast("long")).drop("_d", "_hi", "_lo")
+
+
+def running_count(events: DataFrame) -> DataFrame:
+    """(dt, seen): how many events lie at or before each event date; years are summed apart, so no task sorts all dates."""
     per_day = events.groupBy(F.col("event_dt").alias("dt")).agg(F.count("*").alias("c"))
     per_year = per_day.groupBy(F.year("dt").alias("y")).agg(F.sum("c").alias("c"))
     before = per_year.alias("a").join(F.broadcast(per_year.alias("b")), F.col("b.y") < F.col("a.y"), "left").groupBy("a.y").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("past"))
     running = Window.partitionBy("y").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    total = per_day.withColumn("y", F.year("dt")).join(F.broadcast(before), "y").select("dt", (F.sum("c").over(running) + F.col("past")).alias("seen"))
-    f = as_of(f.withColumn("_d", F.col("dt")).withColumn("dt", F.col("_end")), total, name="_hi").withColumn("dt", F.date_sub("_d", 1))
-    f = as_of(f, total, name="_lo").withColumn("dt", F.col("_d"))
-    n = F.coalesce(F.col("_hi")["seen"], F.lit(0)) - F.coalesce(F.col("_lo")["seen"], F.lit(0))
-    return f.withColumn("n_events", n.cast("long")).drop("_end", "_d", "_hi", "_lo")
+    return per_day.withColumn("y", F.year("dt")).join(F.broadcast(before), "y").select("dt", (F.sum("c").over(running) + F.col("past")).alias("seen"))
 
 
 def resolve_by_position(forecasts: DataFrame, panel: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -123,38 +124,58 @@ class Histogram:
         self.sy[k] += y
 
 
-def walk(g: pd.DataFrame, horizon: int, kind: str, regimes: int = 3) -> pd.DataFrame:
-    """p_cal for each row of one series and horizon, in time order; a label is learned from ``horizon`` rows after its prediction, before that row's own prediction."""
+#: What scales FEATURES to numbers of about one.
+SCALES = np.array([100.0, 1.0, 100.0, 10.0])
+
+
+def route(seen: deque | list, sigma: float, kind: str, regimes: int) -> int:
+    """The model that a volatility goes to: by its share among those seen lately; the first while fewer than 50 are known."""
+    if kind != "regime" or len(seen) < 50 or not np.isfinite(sigma):
+        return 0
+    return min(int(np.mean(np.array(seen) < sigma) * regimes), regimes - 1)
+
+
+def emit(state: dict, p: float, features: list[float]) -> float:
+    """The calibrated probability of a raw one by a state that ``walk`` left."""
+    model = [OnlineLogistic.restore(m) for m in state["models"]]
+    m = model[route(state["seen"], features[FEATURES.index("vol_20")], state["kind"], len(model))]
+    x = np.concatenate([[1.0, _logit(p)], np.nan_to_num(np.array(features, dtype=float)) * SCALES])
+    hist = Histogram(n=np.array(state["n"]), sp=np.array(state["sp"]), sy=np.array(state["sy"]))
+    return p if m.gate.closed else hist.emit(m.emit(p, x))
+
+
+def walk(g: pd.DataFrame, horizon: int, kind: str, regimes: int = 3, end: dict | None = None) -> pd.DataFrame:
+    """p_cal for each row of one series and horizon, in time order; a label is learned from ``horizon`` rows after its prediction, before that row's own prediction.
+
+    What was learned by the last row goes into ``end``, as plain values.
+    """
     g = g.sort_values("idx")
     model = [OnlineLogistic(2 + len(FEATURES)) for _ in range(regimes if kind == "regime" else 1)]
     hist, queue, seen = Histogram(), deque(), deque(maxlen=252)
-    feats = g[list(FEATURES)].astype(float).fillna(0.0).to_numpy() * np.array([100.0, 1.0, 100.0, 10.0])
+    feats = g[list(FEATURES)].astype(float).fillna(0.0).to_numpy() * SCALES
     ys, ps, at = g["y"].to_numpy(dtype=float), g["p"].to_numpy(dtype=float), g["idx"].to_numpy()
     sig = g["vol_20"].to_numpy(dtype=float)
     out = []
 
-    def route(s: float) -> int:
-        if kind != "regime" or len(seen) < 50 or not np.isfinite(s):
-            return 0
-        return min(int(np.mean(np.array(seen) < s) * regimes), regimes - 1)
-
     for i in range(len(g)):
         while queue and at[i] - at[queue[0][0]] >= horizon:
             j, x, cal = queue.popleft()
             if np.isfinite(ys[j]):
-                model[route(sig[j])].update(ps[j], x, ys[j])
+                model[route(seen, sig[j], kind, regimes)].update(ps[j], x, ys[j])
                 hist.update(cal, ys[j])
         p = ps[i]
         if not np.isfinite(p):
             out.append((None, None))
             continue
         x = np.concatenate([[1.0, _logit(p)], feats[i]])
-        m = model[route(sig[i])]
+        m = model[route(seen, sig[i], kind, regimes)]
         cal = m.emit(p, x)
         out.append((cal, p if m.gate.closed else hist.emit(cal)))
         queue.append((i, x, cal))
         if np.isfinite(sig[i]):
             seen.append(sig[i])
+    if end is not None:
+        end.update(kind=kind, models=[m.state() for m in model], seen=list(seen), n=hist.n.tolist(), sp=hist.sp.tolist(), sy=hist.sy.tolist())
     g = g.assign(p_model=[o[0] for o in out], p_cal=[o[1] for o in out])
     return g[["ticker", "idx", "horizon", "p", "y", "p_model", "p_cal"]]
 
@@ -167,3 +188,15 @@ def calibrate(frame: DataFrame, kind: str = "multi") -> DataFrame:
 
     cols = ["ticker", "idx", "horizon", "p", "y", *FEATURES]
     return frame.select(*cols).groupBy("ticker", "horizon").applyInPandas(run, "ticker string, idx int, horizon int, p double, y double, p_model double, p_cal double")
+
+
+def train_states(frame: DataFrame, kind: str = "multi") -> DataFrame:
+    """(ticker, horizon, state): what the calibrators of each series have learned by its last row, as JSON."""
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        end: dict = {}
+        walk(g, int(key[1]), kind, end=end)
+        return pd.DataFrame([{"ticker": key[0], "horizon": int(key[1]), "state": json.dumps(end)}])
+
+    cols = ["ticker", "idx", "horizon", "p", "y", *FEATURES]
+    return frame.select(*cols).groupBy("ticker", "horizon").applyInPandas(run, "ticker string, horizon int, state string")

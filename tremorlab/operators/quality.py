@@ -25,12 +25,13 @@ def iqr_outliers(rets: DataFrame, k: float = 5.0) -> DataFrame:
 
 
 def stale_runs(panel: DataFrame, least: int = 5) -> DataFrame:
-    """Runs of ``least`` or more unchanged days: first and last position and length, the row before the first change included."""
+    """Runs of ``least`` or more unchanged days: start_idx, the row that the first of them repeats, last_idx, the row of the
+    next change or the series' last, and n, the unchanged days."""
     flat = F.when(F.abs(F.col("price") - F.lag("price").over(W())) < 1e-10, 1).otherwise(0)
     f = panel.withColumn("flat", flat)
-    f = f.withColumn("island", F.sum(1 - F.col("flat")).over(W()))
-    runs = f.groupBy("ticker", "island").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("last_idx"), F.count("*").alias("n"))
-    return runs.where(F.col("n") > least).drop("island")
+    f = f.withColumn("island", F.sum(1 - F.col("flat")).over(W())).withColumn("next_idx", F.lead("idx").over(W()))
+    runs = f.groupBy("ticker", "island").agg(F.min("idx").alias("start_idx"), F.max(F.coalesce("next_idx", "idx")).alias("last_idx"), (F.count("*") - 1).alias("n"))
+    return runs.where(F.col("n") >= least).drop("island")
 
 
 def date_gaps(panel: DataFrame, most: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tremorlab.operators.lookup import as_of, running_count
+
 
 def persistence(alpha: Column, beta: Column, gamma: Column | None = None) -> Column:
     return alpha + beta + (F.coalesce(gamma, F.lit(0.0)) / 2 if gamma is not None else 0.0)
@@ -60,14 +62,32 @@ def jump_parameters(frame: DataFrame, sigma: str = "sigma_1d", n: int = 300, low
 
 
 def event_variance(frame: DataFrame, events: DataFrame, sigma: str = "sigma", most: int = 12, least: int = 4, scale: float = 1.0) -> DataFrame:
-    """event_var: what the squared larger return around each of the last ``most`` past events exceeds sigma^2 by, on average; 0 below ``least`` events."""
+    """event_var: what the squared larger return around each of the last ``most`` past events exceeds sigma^2 by, on average; 0 below ``least`` of them.
+
+    An event belongs to the first row at or after its date, so events between trading days count; the return into that row competes
+    with the one out of it, the former winning ties, where the latter is known. No return counts for two events. Frames
+    hold a few rows each: chosen returns are summed among themselves and the sums carried to the rows after them.
+    """
     w = Window.partitionBy("ticker").orderBy("dt")
-    around = F.greatest(F.abs("ret"), F.abs(F.lag("ret").over(w)))
-    hit = frame.join(F.broadcast(events.select(F.col("event_dt").alias("dt")).distinct().withColumn("_e", F.lit(1))), "dt", "left").withColumn("_sq", F.when(F.col("_e") == 1, around * around))
-    past = F.collect_list("_sq").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    kept = F.slice(F.reverse(past), 1, most)
-    mean = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.size(kept)
-    return hit.withColumn("_k", kept).withColumn("event_var", F.when(F.size("_k") >= least, F.greatest(mean - F.col(sigma) * F.col(sigma), F.lit(0.0)) * scale).otherwise(0.0)).drop("_e", "_sq", "_k")
+    seen = running_count(events)
+    at = as_of(as_of(frame.withColumn("_d", F.col("dt")), seen, name="_now").withColumn("dt", F.date_sub("_d", 1)), seen, name="_day_before").withColumn("dt", F.col("_d"))
+    count = lambda c: F.coalesce(F.col(c)["seen"], F.lit(0))
+    f = at.withColumn("_n", count("_now")).withColumn("_n0", count("_day_before")).drop("_now", "_day_before", "_d")
+    earlier = F.coalesce(F.lag("_n").over(w), F.lit(0))
+    size = lambda c: F.coalesce(F.abs(c), F.lit(-1.0))
+    f = f.withColumn("_event", F.col("_n") > earlier).withColumn("_open", F.col("_n0") > earlier)
+    f = f.withColumns({"_r": size(F.col("ret")), "_r_before": size(F.lag("ret").over(w)), "_r_after": size(F.lead("ret").over(w)), "_event_before": F.coalesce(F.lag("_event").over(w), F.lit(False))})
+    into, out_of = F.col("_event") & (F.col("_r") >= F.col("_r_after")), F.col("_event_before") & (F.col("_r") > F.col("_r_before"))
+    f = f.withColumn("_chosen", (into | out_of) & (F.col("_r") >= 0)).withColumn("_now", (F.col("_open") | out_of) & (F.col("_r") >= 0)).withColumn("_sq", F.col("ret") * F.col("ret"))
+    among = Window.partitionBy("ticker", "_chosen").orderBy("dt")
+    last = lambda n: F.struct(F.sum("_sq").over(among.rowsBetween(1 - n, 0)).alias("s"), F.count("_sq").over(among.rowsBetween(1 - n, 0)).alias("n"))
+    f = f.withColumn("_sums", F.when(F.col("_chosen"), F.struct(last(most).alias("all"), last(most - 1).alias("but_one"))))
+    f = f.withColumn("_past", F.last("_sums", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    part = lambda kind, of: F.coalesce(F.col("_past")[kind][of], F.lit(0))
+    total = F.when(F.col("_now"), F.col("_sq") + part("but_one", "s")).otherwise(part("all", "s"))
+    n = F.when(F.col("_now"), part("but_one", "n") + 1).otherwise(part("all", "n"))
+    var = F.when(n >= least, F.greatest(total / n - F.col(sigma) * F.col(sigma), F.lit(0.0)) * scale).otherwise(0.0)
+    return f.withColumn("event_var", var).drop("_n", "_n0", "_event", "_open", "_r", "_r_before", "_r_after", "_event_before", "_chosen", "_now", "_sq", "_sums", "_past")
 
 
 def add_event_variance(sigma: Column, var: Column, count: Column, horizon: Column, shrink: float = 1.0) -> Column:

@@ -112,27 +112,49 @@ def ewma_sigma(r: np.ndarray) -> float:
 FIT = "ticker string, idx int, sigma_1d double, omega double, alpha double, beta double, gamma double, source string"
 
 
-def garch_series(rets: DataFrame, every: int = 21, model: str = "garch", start: int = MIN_WINDOW, chunk: int = 1024) -> DataFrame:
+def filtered(fit: dict, returns: np.ndarray) -> list[float]:
+    """One-day volatilities after each further return, by the recursion of a GARCH or GJR fit; other fits keep theirs."""
+    if fit["omega"] is None or fit["source"] not in ("garch", "gjr"):
+        return [fit["sigma_1d"]] * len(returns)
+    h, out = fit["sigma_1d"] ** 2, []
+    for x in returns:
+        h = max(fit["omega"] + (fit["alpha"] + fit["gamma"] * (x < 0)) * x * x + fit["beta"] * h, 1e-16)
+        out.append(min(1.0, float(np.sqrt(h))))
+    return out
+
+
+def garch_series(rets: DataFrame, every: int = 21, model: str = "garch", start: int = MIN_WINDOW, chunk: int = 1024, daily: bool = False) -> DataFrame:
     """A fit at each ``every``-th row from ``start`` on, of the returns known there.
 
-    Series are cut into overlapping stretches of ``chunk`` rows plus a window, so that one long series is
+    With ``daily`` every row from the first fit on has the parameters of its latest fit and the volatility that these give after the
+    returns since. Series are cut into overlapping stretches of ``chunk`` rows plus a window, so that one long series is
     fitted by many tasks, each holding a bounded number of rows.
     """
-    first, last = F.floor(F.col("idx") / chunk), F.floor((F.col("idx") + WINDOW) / chunk)
+    first, last = F.floor(F.col("idx") / chunk), F.floor((F.col("idx") + WINDOW + every) / chunk)
     cut = rets.where("ret is not null").select("ticker", "idx", "ret", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("part"))
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
         idx, ret = g["idx"].to_numpy(), g["ret"].to_numpy()
         out = []
-        for t in idx[(idx // chunk == key[1]) & (idx % every == 0) & (idx >= start)]:
+        mine = idx // chunk == key[1]
+        grid = mine & (idx % every == 0)
+        if daily:  # the first rows of a stretch go by the last fit before it
+            grid |= (idx < key[1] * chunk) & (idx > key[1] * chunk - every) & (idx % every == 0)
+        for t in idx[grid & (idx >= start)]:
             seen = ret[(idx <= t) & (idx > t - WINDOW)]
             if model == "ensemble":
                 fits = [fit_garch(seen, "garch"), fit_garch(seen, "gjr"), fit_egarch(seen)]
                 one = fits[1] | {"sigma_1d": float(np.mean([f["sigma_1d"] for f in fits])), "source": "ensemble"}
             else:
                 one = fit_garch(seen, model)
-            out.append({"ticker": key[0], "idx": int(t)} | one)
+            if not daily:
+                out.append({"ticker": key[0], "idx": int(t)} | one)
+                continue
+            after = (idx > t) & (idx < t + every)
+            for i, sigma in zip([t, *idx[after]], [one["sigma_1d"], *filtered(one, ret[after])]):
+                if i // chunk == key[1]:
+                    out.append({"ticker": key[0], "idx": int(i)} | one | {"sigma_1d": sigma})
         return pd.DataFrame(out, columns=[c.split()[0] for c in FIT.split(", ")])
 
     return cut.groupBy("ticker", "part").applyInPandas(fit, FIT)

@@ -1,7 +1,8 @@
 """The full walk: features, volatility fit, simulation and online calibration as stages of one plan.
 
 Only calibration is sequential. Fits run per stretch of a series, simulations per row, and the
-calibrators once per (ticker, horizon); nothing at a date reads a label that is not known by then.
+calibrators once per (ticker, horizon). Parameters are refitted every ``refit_every`` rows and the volatility follows every
+return in between. Nothing at a date reads a label that is not known by then.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tremorlab.operators import features as X
 from tremorlab.operators import online, simulate, vol, volfit
+from tremorlab.sources import store
 
 
 @dataclass(frozen=True)
@@ -43,17 +45,16 @@ class WalkConfig:
 def forecasts(panel: DataFrame, cfg: WalkConfig, thresholds: DataFrame | None = None) -> DataFrame:
     """Rows (ticker, idx, horizon) with raw simulated probabilities, quantiles, features and labels."""
     s = X.regime(X.percentile_rank(X.vol_state(X.with_returns(panel))))
-    fits = volfit.garch_series(s, cfg.refit_every, cfg.model, cfg.start).withColumn("anchor_var", F.col("sigma_1d") * F.col("sigma_1d"))
+    if thresholds is None:
+        thresholds = X.adaptive_thresholds(X.forward_returns(panel.select("ticker", "dt", "price")), cfg.tau_quantile)
+    fits = volfit.garch_series(s, cfg.refit_every, cfg.model, cfg.start, daily=True).withColumn("anchor_var", F.col("sigma_1d") * F.col("sigma_1d"))
     fits = vol.project(fits, cfg.stationarity_target).drop("anchor_var")
-    f = volfit.carry_forward(s, fits)
+    f = s.join(fits, ["ticker", "idx"], "left")
     if cfg.jumps:
         f = vol.jump_parameters(f, "vol_20")
-    f = X.forward_returns(f)
-    f = X.label_moves(f, thresholds if thresholds is not None else X.adaptive_thresholds(f, cfg.tau_quantile))
+    f = X.label_moves(X.forward_returns(f), thresholds)
     f = X.boost_flag(f).withColumn("boost", F.coalesce("boost", F.lit(False)))
     f = f.where((F.col("idx") >= cfg.start) & F.col("sigma_1d").isNotNull())
-    # today's volatility level scales the last fit's one-day value between refits
-    f = f.withColumn("sigma_1d", F.coalesce(vol.blend(F.col("sigma_1d"), F.col("vol_20"), 0.5), "sigma_1d"))
     keep = ["ticker", "idx", "dt", "horizon", "ret_h", "tau", "y", "boost", "regime", "source", "projected", "sigma_1d", "omega", "alpha", "beta", "gamma", *online.FEATURES]
     keep += [c for c in ("jump_rate", "jump_mean", "jump_dev") if cfg.jumps]
     if cfg.regime_tails:
@@ -66,5 +67,9 @@ def walk_forward(panel: DataFrame, cfg: WalkConfig | None = None, thresholds: Da
     """Forecasts with p_cal from the online calibrators."""
     cfg = cfg or WalkConfig()
     raw = forecasts(panel, cfg, thresholds)
+    # written once: the calibrators read it and their result joins it
+    at = f"{store.work_dir(raw.sparkSession, 'walk')}/raw"
+    raw.write.parquet(at)
+    raw = raw.sparkSession.read.schema(raw.schema).parquet(at)
     cal = online.calibrate(raw.withColumn("p", F.greatest(F.lit(0.001), F.least(F.lit(0.999), "p_raw"))), cfg.kind)
     return raw.join(cal.select("ticker", "idx", "horizon", "p_cal"), ["ticker", "idx", "horizon"])

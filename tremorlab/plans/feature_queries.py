@@ -55,8 +55,8 @@ def dq_outliers_iqr(spark, d):
     return Q.iqr_outliers(rets(spark, d), 1.0).select("ticker", "idx", R("ret", "ret"))
 
 
-@query("""SELECT ticker, CAST(min(idx) AS INTEGER) AS start_idx, CAST(max(idx) AS INTEGER) AS last_idx, count(*) AS n FROM (
- SELECT ticker, idx, flat, sum(1 - flat) OVER (PARTITION BY ticker ORDER BY dt) AS island FROM (
+@query("""SELECT ticker, CAST(min(idx) AS INTEGER) AS start_idx, CAST(least(max(idx) + 1, max(m)) AS INTEGER) AS last_idx, count(*) - 1 AS n FROM (
+ SELECT ticker, idx, flat, max(idx) OVER (PARTITION BY ticker) AS m, sum(1 - flat) OVER (PARTITION BY ticker ORDER BY dt) AS island FROM (
   SELECT *, CASE WHEN abs(p - lag(p) OVER (PARTITION BY ticker ORDER BY dt)) < 1e-10 THEN 1 ELSE 0 END AS flat FROM (SELECT ticker, dt, idx, floor(price / 20000) AS p FROM panel)))
 GROUP BY ticker, island HAVING count(*) > 3""")
 def dq_stale_runs(spark, d):
@@ -154,7 +154,7 @@ def realized_variance(spark, d):
     return X.rolling_mean(rets(spark, d), F.col("ret") * F.col("ret"), 22, "rv").select("ticker", "idx", R("rv", "rv"))
 
 
-@query(f"""SELECT a.ticker, a.idx, {r6('sqrt(greatest(sum(b.ret * b.ret * w) / sum(w), 1e-16))')} AS ewma FROM panel a JOIN (SELECT * FROM rets WHERE ret IS NOT NULL) b ON a.ticker = b.ticker AND b.idx <= a.idx AND b.idx > a.idx - 120,
+@query(f"""SELECT a.ticker, a.idx, {r6('sqrt(greatest(sum(b.ret * b.ret * w) / sum(w), 1e-16))')} AS ewma FROM panel a JOIN (SELECT * FROM rets WHERE ret IS NOT NULL) b ON a.ticker = b.ticker AND b.idx <= a.idx,
 LATERAL (SELECT pow(1 - 2.0 / 21, a.idx - b.idx) AS w) GROUP BY 1, 2 UNION ALL SELECT ticker, idx, NULL FROM panel WHERE idx = 0""")
 def ewma_vol(spark, d):
     return X.ewma_vol(rets(spark, d)).select("ticker", "idx", R("ewma", "ewma"))

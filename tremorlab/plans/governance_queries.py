@@ -28,7 +28,7 @@ def _scores(name: str, src: str, keys: str) -> None:
 
 
 _scores("by_fold", "oof", "config, fold, horizon")
-cte("sliced", "SELECT * FROM (SELECT o.*, unnest(['all', CASE WHEN vol_20 < c[1] THEN 'low' WHEN vol_20 > c[2] THEN 'high' ELSE 'mid' END]) AS slice FROM oof o JOIN (SELECT config, horizon, quantile_cont(vol_20, [0.33, 0.66]) AS c FROM oof WHERE vol_20 IS NOT NULL GROUP BY ALL) USING (config, horizon))")
+cte("sliced", "SELECT * FROM (SELECT o.*, unnest(CASE WHEN vol_20 IS NULL THEN ['all'] ELSE ['all', CASE WHEN vol_20 < c[1] THEN 'low' WHEN vol_20 > c[2] THEN 'high' ELSE 'mid' END] END) AS slice FROM oof o JOIN (SELECT config, horizon, quantile_cont(vol_20, [0.33, 0.66]) AS c FROM oof WHERE vol_20 IS NOT NULL GROUP BY ALL) USING (config, horizon))")
 _scores("by_slice", "sliced", "config, horizon, slice")
 cte("gates", """SELECT config, horizon, slice, n, enough, m.metric AS metric, m.value AS value, m.threshold AS threshold, (m.value - m.threshold) * m.sign AS margin, CASE WHEN enough AND m.value IS NOT NULL THEN (m.value - m.threshold) * m.sign >= 0 END AS passed
 FROM (SELECT *, n >= 100 AND pos >= 30 AND n - pos >= 30 AS enough, unnest([{'metric': 'bss', 'value': bss, 'threshold': 0.0, 'sign': 1}, {'metric': 'auc', 'value': auc, 'threshold': 0.55, 'sign': 1}, {'metric': 'ece', 'value': ece, 'threshold': 0.02, 'sign': -1}]) AS m FROM by_slice)""")
@@ -121,10 +121,10 @@ def threshold_sensitivity(spark, d):
     return G.threshold_sensitivity(labelled(spark, d)).select("ticker", "horizon", "shift", R("rate", "rate"))
 
 
-@query(f"SELECT config, {r6('any_value(bss) FILTER (ticker = ' + repr('A') + ')')} AS \"A\", {r6('any_value(bss) FILTER (ticker = ' + repr('N') + ')')} AS \"N\", {r6('any_value(bss) FILTER (ticker = ' + repr('R') + ')')} AS \"R\" FROM (SELECT config, ticker, {BSS} AS bss FROM known WHERE horizon = 5 GROUP BY ALL) GROUP BY config")
+@query(f"SELECT config, horizon, {r6('any_value(bss) FILTER (ticker = ' + repr('A') + ')')} AS \"A\", {r6('any_value(bss) FILTER (ticker = ' + repr('N') + ')')} AS \"N\", {r6('any_value(bss) FILTER (ticker = ' + repr('R') + ')')} AS \"R\" FROM (SELECT config, ticker, horizon, {BSS} AS bss FROM known GROUP BY ALL) GROUP BY config, horizon")
 def pivot_config_ticker(spark, d):
-    s = M.basic(pairs(spark, d).where("horizon = 5"), ["config", "ticker"])
-    return s.groupBy("config").pivot("ticker", ["A", "N", "R"]).agg(F.first("bss")).select("config", R("A", "A"), R("N", "N"), R("R", "R"))
+    s = M.basic(pairs(spark, d), ["config", "ticker", "horizon"])
+    return s.groupBy("config", "horizon").pivot("ticker", ["A", "N", "R"]).agg(F.first("bss")).select("config", "horizon", R("A", "A"), R("N", "N"), R("R", "R"))
 
 
 @query("SELECT config, regime, horizon, count(*) AS n, count(*) FILTER (p >= 0.25) AS n_high FROM pairs GROUP BY ALL")
@@ -132,13 +132,13 @@ def stress_routing_counts(spark, d):
     return pairs(spark, d).groupBy("config", "regime", "horizon").agg(F.count("*").alias("n"), F.count_if(F.col("p") >= 0.25).alias("n_high"))
 
 
-cte("daily", "SELECT r.ticker, r.idx, r.dt, r.ret / 20 AS ret, CASE WHEN s.idx % 3 = 0 THEN s.p END AS p FROM rets r LEFT JOIN scored s ON s.ticker = r.ticker AND s.idx = r.idx AND s.horizon = 5")
+cte("daily", "SELECT r.ticker, r.idx, r.dt, r.ret / 20 AS ret, s.p FROM rets r LEFT JOIN scored s ON s.ticker = r.ticker AND s.idx = r.idx AND s.horizon = 5")
 cte("carry", "SELECT *, last_value(p IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pc, lag(p) OVER (PARTITION BY ticker ORDER BY idx) AS pl FROM daily")
 cte("managed", "SELECT *, w * ret - abs(w - CASE WHEN coalesce(pl, pc, 0) >= 0.2 THEN 0.5 ELSE 1 END) * 5 / 1e4 AS net FROM (SELECT *, CASE WHEN coalesce(pc, 0) >= 0.2 THEN 0.5 ELSE 1 END AS w FROM carry)")
 
 
 def _daily(spark, d):
-    s = scored(spark, d).where("horizon = 5").select("ticker", "idx", F.when(F.col("idx") % 3 == 0, F.col("p")).alias("p"))
+    s = scored(spark, d).where("horizon = 5").select("ticker", "idx", "p")
     return rets(spark, d).select("ticker", "idx", "dt", (F.col("ret") / 20).alias("ret")).join(s, ["ticker", "idx"], "left")
 
 
@@ -212,7 +212,7 @@ def latest_summary(spark, d):
 
 
 # calibration: ordered folds as recursive queries, histogram correction as a batch
-cte("steps", "SELECT ticker, CAST(row_number() OVER (PARTITION BY ticker ORDER BY idx) AS INTEGER) AS i, p, y FROM scored WHERE horizon = 5 AND y IS NOT NULL AND p IS NOT NULL AND idx < 652")
+cte("steps", "SELECT ticker, CAST(row_number() OVER (PARTITION BY ticker ORDER BY idx) AS INTEGER) AS i, p, y FROM scored WHERE horizon = 5 AND y IS NOT NULL AND p IS NOT NULL")
 LG7 = "ln(greatest(1e-7, least(1 - 1e-7, p)) / (1 - greatest(1e-7, least(1 - 1e-7, p))))"
 SIG = "1 / (1 + exp(-greatest(-50.0, least(50.0, {x}))))"
 OUT = f"(CASE WHEN n < 50 THEN s.p ELSE {SIG.format(x='a * x + b')} END - s.y)"
@@ -226,11 +226,11 @@ cte(
 
 @query(f"""SELECT ticker, {r6('a')} AS a, {r6('b')} AS b, n FROM (SELECT ticker, a, b, n, max(n) OVER (PARTITION BY ticker) AS m FROM platt_walk) WHERE n = m""")
 def platt_fold(spark, d):
-    s = scored(spark, d).where("horizon = 5 and y is not null and p is not null and idx < 652")
+    s = scored(spark, d).where("horizon = 5 and y is not null and p is not null")
     return C.platt_fold(s, ["ticker"]).select("ticker", R("a", "a"), R("b", "b"), "n")
 
 
-@query(f"""SELECT {'ticker, horizon'}, bin, n, {r6('CASE WHEN n >= 15 THEN n / (n + 15) * (mean_y - mean_p) ELSE 0.0 END')} AS correction FROM width_bins WHERE config = 'normal'""")
+@query(f"""SELECT {'config, ticker, horizon'}, bin, n, {r6('CASE WHEN n >= 15 THEN n / (n + 15) * (mean_y - mean_p) ELSE 0.0 END')} AS correction FROM width_bins""")
 def histogram_correction_batch(spark, d):
-    f = pairs(spark, d).where("config = 'normal'")
-    return C.histogram_correction(f, ["ticker", "horizon"]).select("ticker", "horizon", "bin", "n", R("correction", "correction"))
+    f = pairs(spark, d)
+    return C.histogram_correction(f, ["config", "ticker", "horizon"]).select("config", "ticker", "horizon", "bin", "n", R("correction", "correction"))

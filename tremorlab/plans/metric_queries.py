@@ -55,25 +55,26 @@ def ece_bins(spark, d):
     return M.ece_bins(pairs(spark, d), K).select(*K, "bin", "n", R("mean_p", "mean_p"), R("mean_y", "mean_y"), R("gap", "gap"))
 
 
-@query(f"SELECT {KS}, {r6('sum(n * gap) / sum(n)')} AS ece FROM adaptive WHERE config = 'normal' GROUP BY ALL")
+@query(f"SELECT {KS}, {r6('sum(n * gap) / sum(n)')} AS ece FROM adaptive GROUP BY ALL")
 def ece_adaptive(spark, d):
-    return M.ece_adaptive(pairs(spark, d).where("config = 'normal'"), K).select(*K, R("ece_adaptive", "ece"))
+    return M.ece_adaptive(pairs(spark, d), K).select(*K, R("ece_adaptive", "ece"))
 
 
-@query(f"SELECT {KS}, bin, n, {r6('mean_p')} AS mean_p, {r6('mean_y')} AS mean_y FROM adaptive WHERE config = 'normal'")
+@query(f"SELECT {KS}, bin, n, {r6('mean_p')} AS mean_p, {r6('mean_y')} AS mean_y FROM adaptive")
 def calibration_bins_adaptive(spark, d):
-    return M.adaptive_bins(pairs(spark, d).where("config = 'normal'"), K).select(*K, "bin", "n", R("mean_p", "mean_p"), R("mean_y", "mean_y"))
+    return M.adaptive_bins(pairs(spark, d), K).select(*K, "bin", "n", R("mean_p", "mean_p"), R("mean_y", "mean_y"))
 
 
-cte("resid", f"SELECT {KS}, idx, (p - y) - avg(p - y) OVER (PARTITION BY {KS}) AS d FROM known WHERE horizon = 5")
-_lags = ", ".join(f"avg(d * l{k}) AS c{k}" for k in range(1, 5))
-_sum = " + ".join(f"2 * {1 - k / 5!r} * coalesce(c{k}, 0) / var" for k in range(1, 5))
-cte("neff", f"SELECT {KS}, CASE WHEN n <= 5 OR var < 1e-15 OR 1 + {_sum} <= 0 THEN n ELSE greatest(1.0, least(n, n / (1 + {_sum}))) END AS n_eff FROM (SELECT {KS}, CAST(count(*) AS DOUBLE) AS n, avg(d * d) AS var, {_lags} FROM (SELECT *, {', '.join(f'lag(d, {k}) OVER (PARTITION BY {KS} ORDER BY idx) AS l{k}' for k in range(1, 5))} FROM resid) GROUP BY ALL)")
+cte("resid", f"SELECT {KS}, idx, (p - y) - avg(p - y) OVER (PARTITION BY {KS}) AS d FROM known")
+_lags = ", ".join(f"avg(d * l{k}) AS c{k}" for k in range(1, 10))
+_sum = " + ".join(f"2 * greatest(0, 1 - {k}::DOUBLE / horizon) * coalesce(c{k}, 0) / var" for k in range(1, 10))
+cte("neff", f"SELECT {KS}, CASE WHEN n <= horizon OR var < 1e-15 OR 1 + {_sum} <= 0 THEN n ELSE greatest(1.0, least(n, n / (1 + {_sum}))) END AS n_eff FROM (SELECT {KS}, CAST(count(*) AS DOUBLE) AS n, avg(d * d) AS var, {_lags} FROM (SELECT *, {', '.join(f'lag(d, {k}) OVER (PARTITION BY {KS} ORDER BY idx) AS l{k}' for k in range(1, 10))} FROM resid) GROUP BY ALL)")
 
 
 @query(f"SELECT {KS}, {r6('n_eff')} AS n_eff FROM neff")
 def n_eff(spark, d):
-    return M.n_eff(pairs(spark, d).where("horizon = 5"), K, 5).select(*K, R("n_eff", "n_eff"))
+    each = [M.n_eff(pairs(spark, d).where(f"horizon = {h}"), K, h) for h in (5, 10)]
+    return each[0].unionByName(each[1]).select(*K, R("n_eff", "n_eff"))
 
 
 # quantile forecasts: trailing empirical quantiles of the last 252 known outcomes
@@ -117,9 +118,9 @@ def interval_coverage(spark, d):
 
 
 @query(f"""SELECT ticker, idx, {r6('least(1.0, min(a) OVER (PARTITION BY ticker ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS p_adjusted FROM
- (SELECT *, pv * n / r AS a FROM (SELECT ticker, idx, pv, row_number() OVER (PARTITION BY ticker ORDER BY pv) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, idx, p AS pv FROM scored WHERE horizon = 5 AND idx % 25 = 0)))""")
+ (SELECT *, pv * n / r AS a FROM (SELECT ticker, idx, pv, row_number() OVER (PARTITION BY ticker ORDER BY pv) AS r, count(*) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, idx, p AS pv FROM scored WHERE horizon = 5)))""")
 def fdr_bh(spark, d):
-    f = scored(spark, d).where("horizon = 5 and idx % 25 = 0").select("ticker", "idx", F.col("p").alias("p_value"))
+    f = scored(spark, d).where("horizon = 5").select("ticker", "idx", F.col("p").alias("p_value"))
     return M.fdr(f, ["ticker"]).select("ticker", "idx", R("p_adjusted", "p_adjusted"))
 
 
@@ -169,9 +170,9 @@ def reliability_wilson(spark, d):
     return M.reliability(pairs(spark, d), K).select(*K, "bin", "n", R("wilson_lo", "wilson_lo"), R("wilson_hi", "wilson_hi"))
 
 
-@query(f"SELECT {KS}, round(2 * 2 + 2 * sum({LL}), 4) + 0.0 AS aic, round(2 * ln(count(*)) + 2 * sum({LL}), 4) + 0.0 AS bic FROM known WHERE config = 'normal' GROUP BY ALL")
+@query(f"SELECT {KS}, round(2 * 2 + 2 * sum({LL}), 4) + 0.0 AS aic, round(2 * ln(count(*)) + 2 * sum({LL}), 4) + 0.0 AS bic FROM known GROUP BY ALL")
 def aic_bic(spark, d):
-    return M.aic_bic(pairs(spark, d).where("config = 'normal'"), K, 2).select(*K, F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
+    return M.aic_bic(pairs(spark, d), K, 2).select(*K, F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
 
 
 @query(f"SELECT {KS}, idx, {r6(f'CASE WHEN count(*) OVER w >= 30 THEN avg(pow(p - y, 2)) OVER w END')} AS rolling_brier FROM known WINDOW w AS (PARTITION BY {KS} ORDER BY idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)")

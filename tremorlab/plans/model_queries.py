@@ -47,11 +47,11 @@ def event_count_in_horizon(spark, d):
     return J.event_count(panel(spark, d), P.event_calendar(spark, d), 10).select("ticker", "idx", "n_events")
 
 
-@query(f"""SELECT f.ticker, f.idx, f.horizon, CAST(t.dt AS DATE) AS resolved_dt, {r6('t.price / f.price - 1')} AS realized_return FROM (SELECT *, unnest([5, 10]) AS horizon FROM panel WHERE idx % 7 = 0) f
+@query(f"""SELECT f.ticker, f.idx, f.horizon, CAST(t.dt AS DATE) AS resolved_dt, {r6('t.price / f.price - 1')} AS realized_return FROM (SELECT *, unnest([5, 10]) AS horizon FROM panel) f
  JOIN panel t ON t.ticker = f.ticker AND t.idx = f.idx + f.horizon""")
 def resolution_join(spark, d):
     p = panel(spark, d)
-    f = p.where("idx % 7 = 0").select("ticker", "dt", F.explode(F.array(F.lit(5), F.lit(10))).alias("horizon"))
+    f = p.select("ticker", "dt", F.explode(F.array(F.lit(5), F.lit(10))).alias("horizon"))
     return J.resolve_by_position(f, p).select("ticker", "idx", "horizon", "resolved_dt", R("realized_return", "realized_return"))
 
 
@@ -104,9 +104,15 @@ def jump_state_interp(spark, d):
     return f.select("ticker", "idx", R("jump_rate", "jump_rate"), R("jump_mean", "jump_mean"), R("jump_dev", "jump_dev"))
 
 
-cte("event_sq", "SELECT r.*, vol20.sigma, CASE WHEN event_dt IS NOT NULL THEN pow(greatest(abs(r.ret), abs(lag(r.ret) OVER (PARTITION BY r.ticker ORDER BY r.dt))), 2) END AS sq FROM rets r JOIN vol20 ON r.ticker = vol20.ticker AND r.idx = vol20.idx LEFT JOIN events_cal ON event_dt = r.dt")
-cte("event_var", """SELECT ticker, idx, CASE WHEN len(k) >= 4 THEN greatest(list_sum(k) / len(k) - sigma * sigma, 0.0) ELSE 0.0 END AS event_var FROM
- (SELECT *, list_reverse(list(sq) FILTER (sq IS NOT NULL) OVER (PARTITION BY ticker ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))[1:12] AS k FROM event_sq)""")
+# every event is placed for every later row, then the last 12 distinct returns are kept
+cte("event_pos", "SELECT ticker, event_dt, min(idx) AS pos FROM panel JOIN events_cal ON dt >= event_dt GROUP BY ALL")
+cte(
+    "event_used",
+    """SELECT DISTINCT t.ticker, t.idx, CASE WHEN e.pos + 1 <= t.idx AND abs(b.ret) > coalesce(abs(a.ret), -1) THEN b.idx ELSE a.idx END AS used, CASE WHEN e.pos + 1 <= t.idx AND abs(b.ret) > coalesce(abs(a.ret), -1) THEN b.ret ELSE a.ret END AS r
+ FROM rets t JOIN event_pos e ON e.ticker = t.ticker AND e.event_dt < t.dt JOIN rets a ON a.ticker = e.ticker AND a.idx = e.pos LEFT JOIN rets b ON b.ticker = e.ticker AND b.idx = e.pos + 1""",
+)
+cte("event_last", "SELECT ticker, idx, avg(r * r) AS v, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY ticker, idx ORDER BY used DESC) AS k FROM event_used WHERE r IS NOT NULL) WHERE k <= 12 GROUP BY ALL")
+cte("event_var", "SELECT v.ticker, v.idx, CASE WHEN e.n >= 4 THEN coalesce(greatest(e.v - v.sigma * v.sigma, 0.0), 0.0) ELSE 0.0 END AS event_var FROM vol20 v LEFT JOIN event_last e ON e.ticker = v.ticker AND e.idx = v.idx")
 
 
 @query(f"SELECT ticker, idx, {r6('event_var')} AS event_var FROM event_var")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from tremorlab.functions import scalar
@@ -9,7 +11,8 @@ from tremorlab.operators import calibrate
 from tremorlab.operators import features as X
 from tremorlab.operators import govern as G
 from tremorlab.operators import metrics as M
-from tremorlab.operators import online, resample, simulate, study, volfit
+from tremorlab.operators import online, predict, resample, simulate, study, volfit
+from tremorlab.operators.quantile import quantiles
 from tremorlab.operators.walkforward import WalkConfig, walk_forward
 from tremorlab.plans import governance_queries  # noqa: F401  its sub-queries are used here
 from tremorlab.plans.base import WT, R, labelled, pairs, panel, rets, scored, state
@@ -28,16 +31,47 @@ def garch_ensemble(spark, d):
     return volfit.garch_series(rets(spark, d), 252, "ensemble")
 
 
-@query()
+def _har_sql(value: str, source: str) -> str:
+    """HAR regressions as SQL: normal equations by sums, solved by Cramer's rule in units of each column's root mean square."""
+    x = ["1.0::DOUBLE", "rv_1", "rv_5", "rv_22"]
+    past = lambda n: f"avg(v) OVER (PARTITION BY ticker ORDER BY dt ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    ahead = lambda n: f"avg(v) OVER (PARTITION BY ticker ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING)"
+    rows = f"SELECT ticker, idx, v AS rv_1, {past(5)} AS rv_5, {past(22)} AS rv_22, {ahead(1)} AS t1, {ahead(5)} AS t5, {ahead(22)} AS t22, count(ret) OVER (PARTITION BY ticker ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 22 FOLLOWING) AS c FROM (SELECT *, {value} AS v FROM {source})"
+    long = f"SELECT ticker, rv_1, rv_5, rv_22, unnest([1, 5, 22]) AS target, unnest([t1, t5, t22]) AS y FROM ({rows}) WHERE idx >= 22 AND c = 22"
+    sums = ", ".join([f"sum({x[i]} * {x[j]}) AS m{i}{j}" for i in range(4) for j in range(i, 4)] + [f"sum({x[i]} * y) AS v{i}" for i in range(4)])
+    raw = f"SELECT ticker, target, count(*) AS n, sum(y * y) AS yy, {sums} FROM ({long}) GROUP BY ALL HAVING count(*) >= 44"
+    scale = ", ".join(f"sqrt(greatest(m{i}{i} / n, 1e-300)) AS s{i}" for i in range(4))
+    m = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+    entries = ", ".join([f"{m(i, j)} / s{i} / s{j}{' + 0.0001 * n' if i == j and i else ''} AS a{i}{j}" for i in range(4) for j in range(4)] + [f"v{i} / s{i} AS c{i}" for i in range(4)])
+
+    def det(cell) -> str:
+        terms = []
+        for p in permutations(range(4)):
+            sign = -1 if sum(p[a] > p[b] for a in range(4) for b in range(a + 1, 4)) % 2 else 1
+            terms.append(f"{'-' if sign < 0 else '+'} " + " * ".join(cell(i, p[i]) for i in range(4)))
+        return f"({' '.join(terms)})"
+
+    a = lambda i, j: f"a{i}{j}"
+    weights = ", ".join(f"{det(lambda i, j, k=k: f'c{i}' if j == k else a(i, j))} / {det(a)} / s{k} AS w{k}" for k in range(4))
+    sse = "yy - 2 * (w0 * v0 + w1 * v1 + w2 * v2 + w3 * v3) + " + " + ".join(f"w{i} * w{j} * {m(i, j)}" for i in range(4) for j in range(4))
+    out = ", ".join(f"{r6(f'w{k}')} AS {name}" for k, name in enumerate(("b0", "b1", "b5", "b22")))
+    return f"SELECT ticker, target, n, {out}, {r6(f'CASE WHEN yy - v0 * v0 / n > 0 THEN 1 - ({sse}) / (yy - v0 * v0 / n) ELSE 0.0 END')} AS r2 FROM (SELECT *, {weights} FROM (SELECT *, {entries} FROM (SELECT *, {scale} FROM ({raw}))))"
+
+
+def _har(f):
+    return f.select("ticker", "target", "n", *[R(c, c) for c in ("b0", "b1", "b5", "b22", "r2")])
+
+
+@query(_har_sql("ret * ret", "rets"))
 def har_rv(spark, d):
-    return volfit.har_rv(rets(spark, d))
+    return _har(volfit.har_rv(rets(spark, d)))
 
 
-@query()
+@query(_har_sql("pow(ln(high / low), 2) / (4 * ln(2.0)) + ret * ret + coalesce(g * g, 0.0)", f"(SELECT *, ln(open / lag(price) OVER {WT}) AS g FROM rets)"))
 def har_ohlc(spark, d):
     f = X.range_features(rets(spark, d))
     value = F.col("parkinson") + F.col("ret") * F.col("ret") + F.coalesce("gap_var", F.lit(0.0))
-    return volfit.har_rv(f, value=value)
+    return _har(volfit.har_rv(f, value=value))
 
 
 @query()
@@ -58,7 +92,7 @@ def mc_regime_tails(spark, d):
 @query(f"""SELECT ticker, {r6('avg(abs(a - pa)) FILTER (n > m - 50)')} AS velocity, {r6('max(a) FILTER (n > m - 100) - min(a) FILTER (n > m - 100)')} AS spread FROM
  (SELECT *, lag(a) OVER (PARTITION BY ticker ORDER BY n) AS pa, max(n) OVER (PARTITION BY ticker) AS m FROM platt_walk) GROUP BY ticker""")
 def convergence_velocity(spark, d):
-    s = scored(spark, d).where("horizon = 5 and y is not null and p is not null and idx < 652")
+    s = scored(spark, d).where("horizon = 5 and y is not null and p is not null")
     return calibrate.convergence(calibrate.platt_trace(s, ["ticker"]), ["ticker"]).select("ticker", R("velocity", "velocity"), R("spread", "spread"))
 
 
@@ -79,6 +113,13 @@ def mf_calibration(spark, d):
     return online.calibrate(scored(spark, d), "multi")
 
 
+@query()
+def predict_latest(spark, d):
+    """The last day of each ticker by calibrators trained on all that was known by then."""
+    p = panel(spark, d)
+    return predict.predict_latest(p, online.train_states(scored(spark, d)), X.adaptive_thresholds(X.forward_returns(p)))
+
+
 @query()
 def regime_mf_calibration(spark, d):
     return online.calibrate(scored(spark, d), "regime")
@@ -86,12 +127,12 @@ def regime_mf_calibration(spark, d):
 
 @query()
 def walkforward(spark, d):
-    return walk_forward(panel(spark, d), WalkConfig(paths=500, refit_every=126)).drop("q")
+    return walk_forward(panel(spark, d), WalkConfig(paths=10_000, refit_every=21)).drop("q")
 
 
 @query()
 def walkforward_scores(spark, d):
-    w = walk_forward(panel(spark, d), WalkConfig(paths=500, refit_every=126, kind="regime", jumps=True))
+    w = walk_forward(panel(spark, d), WalkConfig(paths=1000, refit_every=21, kind="regime", jumps=True))
     both = F.explode(F.array(F.struct(F.lit("raw").alias("config"), F.col("p_raw").alias("p")), F.struct(F.lit("cal").alias("config"), F.col("p_cal").alias("p")))).alias("c")
     return G.all_scores(w.select("horizon", "y", both).select("*", "c.*"), ["config", "horizon"])
 
@@ -99,7 +140,7 @@ def walkforward_scores(spark, d):
 @query()
 def ablation(spark, d):
     p = panel(spark, d)
-    variants = {"gbm": WalkConfig(paths=300, refit_every=252, t_df=None), "student_t": WalkConfig(paths=300, refit_every=252), "jumps": WalkConfig(paths=300, refit_every=252, jumps=True)}
+    variants = {"gbm": WalkConfig(t_df=None), "student_t": WalkConfig(), "jumps": WalkConfig(jumps=True)}
     from functools import reduce
 
     from tremorlab.operators.walkforward import forecasts
@@ -183,18 +224,24 @@ def _events_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-@query()
+# a window is out once the watermark, an hour behind the last event, has passed its end
+@query(f"""SELECT strftime(date_trunc('hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, {r6('sum(value)')} AS total FROM events
+GROUP BY date_trunc('hour', CAST(ts AS TIMESTAMP)), event_type HAVING date_trunc('hour', CAST(ts AS TIMESTAMP)) + INTERVAL 2 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events)""")
 def stream_tumbling(spark, d):
     at = store.work_dir(spark, "tumbling")
     live.run_available(live.tumbling(_events_stream(spark, d)), f"{at}/out", f"{at}/progress")
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", R("total", "total"))
 
 
-@query()
+@query("""SELECT user_id, strftime(min(t), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(t) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n FROM (
+ SELECT *, sum(CASE WHEN t - before <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM (
+  SELECT user_id, CAST(ts AS TIMESTAMP) AS t, lag(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events))
+GROUP BY user_id, session HAVING max(t) + INTERVAL 90 MINUTE <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events)""")
 def stream_sessions(spark, d):
     at = store.work_dir(spark, "sessions")
     live.run_available(live.sessions(_events_stream(spark, d)), f"{at}/out", f"{at}/progress")
-    return spark.read.parquet(f"{at}/out")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return spark.read.parquet(f"{at}/out").select("user_id", stamp("start"), stamp("end"), "n")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'signup'")
@@ -225,9 +272,14 @@ def chart_vol_zones(spark, d):
     return s.join(F.broadcast(q), "ticker").select("ticker", "idx", R("vol_20", "vol_20"), zone.alias("zone"))
 
 
-@query(f"SELECT dt, horizon, {r6('least(avg(p), 0.97)')} AS p FROM scored GROUP BY ALL")
+cte("matrix", "SELECT dt, horizon, avg(p) AS p FROM scored GROUP BY ALL")
+
+
+@query(f"SELECT dt, horizon, {r6('least(p, (SELECT quantile_cont(p, 0.97) FROM matrix))')} AS p FROM matrix")
 def chart_heat_map(spark, d):
-    return scored(spark, d).groupBy("dt", "horizon").agg(R(F.least(F.avg("p"), F.lit(0.97)), "p"))
+    cells = scored(spark, d).groupBy("dt", "horizon").agg(F.avg("p").alias("p"))
+    top = quantiles(cells, [], "p", [0.97]).select(F.col("q")[0].alias("top"))
+    return cells.join(F.broadcast(top)).select("dt", "horizon", R(F.least("p", "top"), "p"))
 
 
 @query("SELECT regime, count(*) AS n FROM state GROUP BY ALL")

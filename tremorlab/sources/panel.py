@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tremorlab.operators.quantile import quantiles
 from tremorlab.session import table
 
 #: Column names that count as the price, in order of preference.
@@ -102,7 +103,7 @@ def read_implied_vol(spark: SparkSession, path: str) -> DataFrame:
 def event_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates of the largest orders, the top 1 % by amount."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("event_dt"), "o_totalprice")
-    cut = o.agg(F.percentile("o_totalprice", F.lit(0.99)).alias("cut"))
+    cut = quantiles(o, [], "o_totalprice", [0.99]).select(F.col("q")[0].alias("cut"))
     return o.join(F.broadcast(cut), F.col("o_totalprice") >= F.col("cut")).select("event_dt").distinct()
 
 

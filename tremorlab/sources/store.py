@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tremorlab-")
+    """A new folder under spark.checkpoint.dir; in local mode a temporary one where that is unset, elsewhere an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tremorlab-")
     return f"{named.rstrip('/')}/work/{label}-{uuid.uuid4().hex}"
 
 
