@@ -96,9 +96,9 @@ def annotate(report: DataFrame, keys: list[str]) -> DataFrame:
 
 def benchmark(frame: DataFrame, keys: list[str]) -> DataFrame:
     """Skill over the climatology of the group's own rows."""
-    f = M.valid(frame)
-    rate = F.avg("y").over(Window.partitionBy(*keys))
-    g = f.withColumn("c", rate).groupBy(*keys).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("model"), F.avg(F.pow(F.col("c") - F.col("y"), 2)).alias("climate"))
+    # a group's mean forecast errs by the variance of its outcomes, so sums that combine before the shuffle do
+    rate = F.avg("y")
+    g = M.valid(frame).groupBy(*keys).agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("model"), (F.avg(F.col("y") * F.col("y")) - rate * rate).alias("climate"))
     return g.withColumn("skill", F.when(F.col("climate") > 1e-15, 1 - F.col("model") / F.col("climate")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremorlab.operators.quantile import quantiles
 from tremorlab.session import table
 
-#: Column names that count as the price, in order of preference.
+#: Column names that count as the price, in order of preference.
 PRICE_NAMES = ("price", "Price", "Close", "close", "Adj Close", "adj_close")
 
 
