@@ -1,6 +1,9 @@
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -133,3 +136,31 @@ def test_end_of_a_task_keeps_placements():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert K.pack(df, WORDS).count() == 0 and B.bpe_digests(df, RANKS, P.PATTERN).count() == 0
+
+
+def test_a_packing_worker_stays_small():
+    """Memory of a worker that takes a batch of 10000 texts with a million different words."""
+    run = """
+import random, resource, sys
+import pyarrow as pa, public_tokenizers as P
+from pyspark.sql import types as T
+from tremorlab.llm import common, packing as K
+class Frame:
+    def mapInArrow(self, f, schema): return f
+rng = random.Random(1)
+batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10000)), "text": [" ".join("%07x" % rng.randrange(1 << 28) for _ in range(100)) for _ in range(10000)]})
+tok, packer = K.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()), K.SumOfSquaresPacker()
+now = lambda: int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize() >> 20
+start, seen = now(), [0]
+def work(batches):
+    for b in batches:
+        for doc, ids in zip(b["doc_id"], tok.encode(b["text"])):
+            packer.add(doc, ids)
+        seen.append(now())
+        yield {"doc_id": []}
+rows = [K.ROWS] if hasattr(K, "ROWS") else []
+list(common.map_lists(Frame(), work, T.StructType([T.StructField("doc_id", T.LongType())]), *rows)([batch]))
+print(max(seen) - start)
+"""
+    out = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], check=True)
+    assert int(out.stdout) < 190, out.stdout

@@ -27,12 +27,13 @@ WINDOW = 4096
 END_ID = 2
 #: Partly filled windows a task keeps before it joins them; bounds its memory to OPEN_WINDOWS * WINDOW ids.
 OPEN_WINDOWS = 2048
-CACHE_ROWS = 800_000
+#: Words remembered, documents taken at once and characters of text whose unknown words are encoded together; these bound a worker's memory.
+CACHE_ROWS = 400_000
+ROWS = 2000
+CHUNK_CHARS = 1_000_000
 CACHE_CHARS = 64
 #: Unknown words that go through the tokenizer as one text.
 WORDS_AT_ONCE = 4000
-#: Characters of text whose unknown words are encoded together.
-CHUNK_CHARS = 4_000_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space on which str.split and the tokenizer may differ; texts with it are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -241,4 +242,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield columns(rows)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_lists(rows, run, typed(docs, id_col, **{n: T.LongType() for n in names[1:]}))
+    return map_lists(rows, run, typed(docs, id_col, **{n: T.LongType() for n in names[1:]}), ROWS)
