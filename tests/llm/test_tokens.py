@@ -164,3 +164,17 @@ print(max(seen) - start)
 """
     out = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], check=True)
     assert int(out.stdout) < 190, out.stdout
+
+
+def test_words_that_come_again_outlast_a_full_memory(monkeypatch):
+    """Once the memory is full only words of one run of texts go; ids stay those of whole texts."""
+    monkeypatch.setattr(K, "CACHE_ROWS", 60)
+    monkeypatch.setattr(K, "CHUNK_CHARS", 1)
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tok = K.WordTokenizer(f.read())
+    learned = []
+    learn = tok._learn
+    tok._learn = lambda words: (learned.extend(words), learn(words))
+    texts = [f"often and again here {' '.join(f'once{i}x{j}' for j in range(9))}" for i in range(30)]
+    assert list(tok.encode(texts)) == tok._encode(texts)
+    assert learned.count("often") == 1 and len(tok.ids) <= 60 + 13

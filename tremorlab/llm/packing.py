@@ -50,6 +50,8 @@ class WordTokenizer:
         self.tok.encode_special_tokens = True
         self.ids: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        #: Words that came again in a later run of texts; most words never do.
+        self.again: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -82,22 +84,28 @@ class WordTokenizer:
         for w, core, tail in parts:
             self.ids[w] = self.cores[core] + self.cores[tail]
 
+    def _forget(self) -> None:
+        """Only words that came again stay; none do where these would fill half of the memory."""
+        stay = self.again if 2 * len(self.again) <= CACHE_ROWS else set()
+        self.ids, self.cores, self.again = {w: self.ids[w] for w in stay if w in self.ids}, {}, set()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         for part in chunks(texts, CHUNK_CHARS):
             split = [None if ODD_SPACE.search(t) else t.split() for t in part]
-            new = set().union(*(w for w in split if w)) - self.ids.keys()
+            words = set().union(*(w for w in split if w))
+            new = words - self.ids.keys()
+            self.again |= words - new
             if new:
                 self._learn(new)
             for text, words in zip(part, split):
                 yield self._encode([text])[0] if words is None else b"".join(map(self.ids.__getitem__, words))
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del self.ids[w]
+                    self.cores.pop(w, None)
             if len(self.ids) > CACHE_ROWS:
-                self.ids, self.cores = {}, {}
-            else:
-                for w in new:
-                    if len(w) > CACHE_CHARS:
-                        del self.ids[w]
-                        self.cores.pop(w, None)
+                self._forget()
 
 
 class SumOfSquaresPacker:
